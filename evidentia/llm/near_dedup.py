@@ -308,3 +308,12 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     out = known.select("doc_id", "n_shingles", "cid").join(named, "cid", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_first(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose doc_id is the smallest of their group.
+
+    Rows with a null doc_id stay.
+    """
+    gone = near_duplicates(docs, p).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")

@@ -83,6 +83,23 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each nonempty byte span; spans must not overlap."""
+    out = np.empty(len(start), dtype=np.uint64)
+    size = end - start
+    total = np.concatenate([[0], np.cumsum(size)])
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(total, total[a] + _SLICE_BYTES, "right")) - 1)
+        k, where = size[a:b], total[a:b] - total[a]
+        inner = np.arange(total[b] - total[a]) - np.repeat(where, k)
+        power = _power_table(int(k.max()))
+        value = (data[inner + np.repeat(start[a:b], k)].astype(np.uint64) + np.uint64(1)) * power[inner]
+        out[a:b] = np.add.reduceat(value, where) + k.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        a = b
+    return mix(out)
+
+
 def hash_words(texts: pa.Array, lower: bool = False, hashes: bool = True) -> Words:
     """Splits and hashes all texts of an Arrow array."""
     data, text_off = text_buffer(texts)
@@ -98,19 +115,8 @@ def hash_words(texts: pa.Array, lower: bool = False, hashes: bool = True) -> Wor
         last[:-1] &= ~solid[1:] | edge[1:n]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     off = np.searchsorted(start, text_off).astype(np.int64)
-    out = np.empty(len(start) if hashes else 0, dtype=np.uint64)
-    size = end - start
-    total = np.concatenate([[0], np.cumsum(size)])
-    a = 0
-    while hashes and a < len(start):
-        b = max(a + 1, int(np.searchsorted(total, total[a] + _SLICE_BYTES, "right")) - 1)
-        k, where = size[a:b], total[a:b] - total[a]
-        inner = np.arange(total[b] - total[a]) - np.repeat(where, k)
-        power = _power_table(int(k.max()))
-        value = (data[inner + np.repeat(start[a:b], k)].astype(np.uint64) + np.uint64(1)) * power[inner]
-        out[a:b] = np.add.reduceat(value, where) + k.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        a = b
-    return Words(data, text_off, start, end, mix(out), off)
+    out = hash_spans(data, start, end) if hashes else np.zeros(0, np.uint64)
+    return Words(data, text_off, start, end, out, off)
 
 
 def windows(words: Words, k: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
