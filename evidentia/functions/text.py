@@ -7,6 +7,8 @@ unless stated otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,24 +40,36 @@ def has_word_boundary(text: Column, start: Column, end: Column) -> Column:
     return ~left.rlike(ALNUM) & ~right.rlike(ALNUM)
 
 
+def first_group(text: Column, pattern: Column) -> Column:
+    """First group of a pattern that is itself a column; '' without a match."""
+    return F.call_function("regexp_extract", text, pattern, F.lit(1))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def find_word(text: Column, needle: Column) -> Column:
     """Start of the first occurrence of the needle with word boundaries, or null.
 
     ``contains`` screens out most pairs before a pattern is compiled.
     """
     bounded = F.concat(F.lit(rf"(?<!{ALNUM})"), quoted(needle), F.lit(rf"(?!{ALNUM})"))
-    before = F.regexp_extract(text, F.concat(F.lit("(?s)^(.*?)"), bounded), 1)
-    return F.when((F.length(needle) > 0) & F.contains(text, needle), F.when(F.regexp_like(text, bounded), F.length(before)))
+    place = let(bounded, lambda b: F.when(F.regexp_like(text, b), F.length(first_group(text, F.concat(F.lit("(?s)^(.*?)"), b)))))
+    return F.when((F.length(needle) > 0) & F.contains(text, needle), place)
+
+
+def _span(start: Column, length: Column) -> Column:
+    return let(start, lambda at: F.when(at.isNotNull(), F.struct(at.alias("start"), (at + length).alias("end"))))
 
 
 def span_exact(text: Column, needle: Column) -> Column:
-    start = find_word(text, needle)
-    return F.when(start.isNotNull(), F.struct(start.alias("start"), (start + F.length(needle)).alias("end")))
+    return _span(find_word(text, needle), F.length(needle))
 
 
 def span_ignoring_case(text: Column, needle: Column) -> Column:
-    start = find_word(F.lower(text), F.lower(needle))
-    return F.when(start.isNotNull(), F.struct(start.alias("start"), (start + F.length(needle)).alias("end")))
+    return _span(find_word(F.lower(text), F.lower(needle)), F.length(needle))
 
 
 def tokens(text: Column, pattern: str = WORD) -> Column:
@@ -66,8 +80,8 @@ def _token_span(text: Column, first: Column, n: Column, word: str, gap: str) ->
     """Span of ``n`` words from word number ``first`` on, by the lengths of two prefixes."""
     head = F.concat(F.lit(f"(?s)^((?:{gap}{word}){{"), first.cast("string"), F.lit(f"}}{gap})"))
     whole = F.concat(F.lit(f"(?s)^((?:{gap}{word}){{"), (first + n).cast("string"), F.lit("})"))
-    start = F.length(F.regexp_extract(text, head, 1))
-    return F.struct(start.alias("start"), F.length(F.regexp_extract(text, whole, 1)).alias("end"))
+    start = F.length(first_group(text, head))
+    return F.struct(start.alias("start"), F.length(first_group(text, whole)).alias("end"))
 
 
 def _first_window(words: Column, n: Column, test) -> Column:
@@ -76,12 +90,21 @@ def _first_window(words: Column, n: Column, test) -> Column:
     return F.get(F.filter(starts, lambda i: test(F.slice(words, i + 1, n))), F.lit(0))
 
 
+def _run_of(text: Column, words: Column, wanted: Column, test, pattern: str, gap: str) -> Column:
+    """Span of the first window of as many words as wanted that passes the test."""
+
+    def search(w: Column, q: Column) -> Column:
+        first = _first_window(w, F.size(q), lambda window: test(window, q))
+        return let(first, lambda i: F.when(i.isNotNull(), _token_span(text, i, F.size(q), pattern, gap)))
+
+    return let(wanted, lambda q: let(words, lambda w: search(w, q)))
+
+
 def span_bag_of_words(text: Column, needle: Column) -> Column:
     """First run of words of the text that is a rearrangement of the needle's two or more words."""
-    words, wanted = tokens(F.lower(text)), F.array_sort(tokens(F.lower(needle)))
-    n = F.size(wanted)
-    first = F.when((n >= 2) & (F.size(F.array_except(wanted, words)) == 0), _first_window(words, n, lambda w: F.array_sort(w) == wanted))
-    return F.when(first.isNotNull(), _token_span(text, first, n, WORD, f"{NOT_WORD}*"))
+    same = lambda window, q: (F.size(q) >= 2) & (F.array_sort(window) == q)
+    wanted = F.array_sort(tokens(F.lower(needle)))
+    return _run_of(text, tokens(F.lower(text)), wanted, same, WORD, f"{NOT_WORD}*")
 
 
 def one_confusable_swap(a: Column, b: Column) -> Column:
@@ -115,16 +138,12 @@ def words_fuzzy_equal(a: Column, b: Column) -> Column:
 
 def span_fuzzy(text: Column, needle: Column) -> Column:
     """First run of words that equals the needle word by word but for spelling, in one word at least."""
-    words, wanted = tokens(text, ASCII_WORD), tokens(needle, ASCII_WORD)
-    n = F.size(wanted)
 
-    def near(window: Column) -> Column:
-        every = F.forall(F.zip_with(window, wanted, words_fuzzy_equal), lambda x: x)
-        return every & (F.transform(window, F.lower) != F.transform(wanted, F.lower))
+    def near(window: Column, q: Column) -> Column:
+        every = F.forall(F.zip_with(window, q, words_fuzzy_equal), lambda x: x)
+        return every & (F.transform(window, F.lower) != F.transform(q, F.lower))
 
-    first = _first_window(words, n, near)
-    gap = r"(?:(?![A-Za-z0-9]).)*"
-    return F.when(first.isNotNull(), _token_span(text, first, n, f"(?:{ASCII_WORD})", gap))
+    return _run_of(text, tokens(text, ASCII_WORD), tokens(needle, ASCII_WORD), near, f"(?:{ASCII_WORD})", r"(?:(?![A-Za-z0-9]).)*")
 
 
 def attribute_name(name: Column) -> Column:

@@ -7,17 +7,20 @@ stage is evaluated only where the earlier ones found nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..functions import text as T
-from ..functions.kernels import negations, normalized_spans
-from ..schema import MATCH, MIN_LOOSE_CANDIDATE, MIN_NORMALIZED, NOT_FOUND, STRATEGIES, TRACE_COLUMNS
+from ..functions.kernels import FOUND, FOUND_ARROW, completed
+from ..schema import MATCH, NOT_FOUND, STRATEGIES, TRACE_COLUMNS
 
 Span = Callable[[Column, Column], Column]
 
+
 def no_matches() -> Column:
     return F.array().cast(f"array<{MATCH}>")
 
@@ -26,142 +29,43 @@ def hits(entries: Column, needle: Column, span: Span) -> Column:
     """Matches of a needle in every entry, in entry order."""
 
     def one(e: Column) -> Column:
-        s = span(e["content"], needle)
-        return F.struct(e["name"].alias("name"), e["content"].alias("content"), s["start"].alias("start"), s["end"].alias("end"))
+        match = lambda s: F.struct(e["name"].alias("name"), e["content"].alias("content"), s["start"].alias("start"), s["end"].alias("end"))
+        return T.let(span(e["content"], needle), match)
 
     return F.filter(F.transform(entries, one), lambda m: m["start"].isNotNull())
 
 
-def zipped(entries: Column, spans: Column) -> Column:
-    """Matches from entries and the parallel array of their spans."""
-    both = F.zip_with(entries, spans, lambda e, s: F.struct(e["name"].alias("name"), e["content"].alias("content"), s["start"].alias("start"), s["end"].alias("end")))
-    return F.filter(both, lambda m: m["start"].isNotNull())
-
-
-def preferred(matches: Column) -> Column:
-    """Of several matches those under the names of the best priority."""
-    ranks = F.transform(matches, lambda m: T.attribute_priority(m["name"]))
-    return F.filter(matches, lambda m: T.attribute_priority(m["name"]) == F.array_min(ranks))
-
+def verbatim(entries: Column, needle: Column) -> Column:
+    """(m, s): matches of the text as it is or, without any, ignoring case; null if there are none."""
 
-def some(matches: Column) -> Column:
-    """The matches, or null if there are none."""
-    return F.when(F.size(matches) > 0, matches)
+    def tier(span: Span, name: str) -> Column:
+        return T.let(hits(entries, needle, span), lambda m: F.when(F.size(m) > 0, F.struct(m.alias("m"), F.lit(name).alias("s"))))
 
+    return F.coalesce(tier(T.span_exact, STRATEGIES[0]), tier(T.span_ignoring_case, STRATEGIES[1]))
 
-def _joined(text: Column) -> Column:
-    return F.translate(F.lower(text), " \t\n\r-_([{)]}", "")
 
+def search_text(items: DataFrame, needle: str = "target_value", attributes: str = "attributes", secondary: str = "secondary", candidates: str | None = None, loose: bool = True) -> DataFrame:
+    """Adds ``found`` (matches, strategy, negated), null if nothing matched.
 
-def may_normalize(entries: Column, needle: Column) -> Column:
-    """Entries that can hold the needle once both are normalised, others with null content.
-
-    Without brackets on either side every form implies that the needle is inside
-    the text with all separators removed.
+    Exact, ignoring case, normalised in attributes, the same three in the other
+    entries; if ``loose`` then rearranged and misspelt words; with ``candidates``
+    at last the other names of the value's term.  Verbatim tiers are native, with
+    a substring test before any pattern; the rest is one kernel pass over Arrow batches.  The
+    other entries are searched natively only where no attribute matched.
     """
-    bracket = r"[\[({]"
-    near = lambda e: F.contains(_joined(e["content"]), _joined(needle)) | e["content"].rlike(bracket) | needle.rlike(bracket)
-    return F.transform(entries, lambda e: F.when(near(e) & (F.length(needle) >= MIN_NORMALIZED), e["content"]))
-
-
-def search_normalized(items: DataFrame, entries: str, needle: Column, wanted: Column, out: str) -> DataFrame:
-    """Adds the normalised matches where ``wanted`` holds, else null."""
-    screened = F.when(wanted, may_normalize(F.col(entries), needle))
-    worth = F.when(F.exists(screened, lambda c: c.isNotNull()), screened)
-    items = items.withColumn("_spans", normalized_spans(needle, worth))
-    return items.withColumn(out, some(zipped(F.col(entries), F.col("_spans")))).drop("_spans")
+    n = F.nullif(F.col(needle), F.lit(""))
+    items = items.withColumn("_a", verbatim(F.col(attributes), n))
+    items = items.withColumn("_s", F.when(F.col("_a").isNull(), verbatim(F.col(secondary), n)))
+    items = items.drop("found")
+    wanted = [items.columns.index(c) for c in (needle, attributes, secondary, "_a", "_s", *([candidates] if candidates else []))]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in wanted), strict=True)
+            found = [completed(*row[:5], row[5] if len(row) > 5 else None, loose) for row in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, FOUND_ARROW)], names=[*batch.schema.names, "found"])
 
-def _first(*found: tuple[Column, str]) -> Column:
-    """(matches, strategy) of the first tier that found something."""
-    return F.coalesce(*[F.when(m.isNotNull(), F.struct(preferred(m).alias("matches"), F.lit(s).alias("strategy"))) for m, s in found])
-
-
-def search_text(items: DataFrame, needle: str = "target_value", attributes: str = "attributes", secondary: str = "secondary", loose: bool = True) -> DataFrame:
-    """Adds ``found`` (matches, strategy): the own text's tiers, attributes before all else.
-
-    Exact, ignoring case, normalised in attributes, the same three in the other
-    entries, then rearranged and misspelt words if ``loose``.  Null if nothing
-    matched or the needle is empty.
-    """
-    a, s, n = F.col(attributes), F.col(secondary), F.nullif(F.col(needle), F.lit(""))
-    items = items.withColumn("_n", n)
-    n = F.col("_n")
-    quick = lambda e: F.coalesce(
-        F.when(F.size(hits(e, n, T.span_exact)) > 0, F.struct(hits(e, n, T.span_exact).alias("m"), F.lit(STRATEGIES[0]).alias("s"))),
-        F.when(F.size(hits(e, n, T.span_ignoring_case)) > 0, F.struct(hits(e, n, T.span_ignoring_case).alias("m"), F.lit(STRATEGIES[1]).alias("s"))),
-    )
-    items = items.withColumn("_a", quick(a))
-    items = search_normalized(items, attributes, n, F.col("_a").isNull() & n.isNotNull(), "_an")
-    open_ = F.col("_a").isNull() & F.col("_an").isNull()
-    items = items.withColumn("_s", F.when(open_, quick(s)))
-    items = search_normalized(items, secondary, n, open_ & F.col("_s").isNull() & n.isNotNull(), "_sn")
-    quickly = lambda c: F.when(F.col(c).isNotNull(), F.struct(preferred(F.col(f"{c}.m")).alias("matches"), F.col(f"{c}.s").alias("strategy")))
-    found = F.coalesce(quickly("_a"), _first((F.col("_an"), STRATEGIES[2])), quickly("_s"), _first((F.col("_sn"), STRATEGIES[2])))
-    items = items.withColumn("found", found).drop("_a", "_an", "_s", "_sn")
-    if loose:
-        for span, name in ((T.span_bag_of_words, STRATEGIES[3]), (T.span_fuzzy, STRATEGIES[4])):
-            for group in (a, s):
-                items = items.withColumn("_m", F.when(F.col("found").isNull() & n.isNotNull(), hits(group, n, span)))
-                items = items.withColumn("found", F.coalesce("found", _first((some(F.col("_m")), name)))).drop("_m")
-    return items.drop("_n")
-
-
-def _candidates_of(group: Column, candidates: Column, span: Span) -> Column:
-    """Matches of the first candidate, in order, that matches at all."""
-    each = F.transform(candidates, lambda c: hits(group, c, span))
-    return F.get(F.filter(each, lambda m: F.size(m) > 0), F.lit(0))
-
-
-def search_synonyms(items: DataFrame, candidates: str = "candidates", attributes: str = "attributes", secondary: str = "secondary") -> DataFrame:
-    """Fills ``found`` from other names of the value's term.
-
-    Group by group, strategy by strategy, candidate by candidate; candidates
-    under five characters are tried exactly only.
-    """
-    items = items.withColumn("_c", F.filter(candidates, lambda c: F.coalesce(c, F.lit("")) != ""))
-    items = items.withColumn("_l", F.filter("_c", lambda c: F.length(c) >= MIN_LOOSE_CANDIDATE))
-    every, loose = F.col("_c"), F.col("_l")
-    wanted = F.col("found").isNull() & (F.size("_c") > 0)
-
-    def fill(items: DataFrame, m: Column) -> DataFrame:
-        items = items.withColumn("_m", m)
-        return items.withColumn("found", F.coalesce("found", _first((F.col("_m"), STRATEGIES[5])))).drop("_m")
-
-    for name in (attributes, secondary):
-        group = F.col(name)
-        items = fill(items, F.when(wanted, _candidates_of(group, every, T.span_exact)))
-        items = fill(items, F.when(wanted, _candidates_of(group, loose, T.span_ignoring_case)))
-        # the kernel takes one needle, so candidates are tried in turn on what is still open
-        items = items.withColumn("_spans", F.when(wanted, F.transform(loose, lambda c: F.struct(c.alias("c"), may_normalize(F.col(name), c).alias("t")))))
-        items = fill(items, _normalized_candidates(F.col("_spans"), group)).drop("_spans")
-        items = fill(items, F.when(wanted, _candidates_of(group, loose, T.span_bag_of_words)))
-        items = fill(items, F.when(wanted, _candidates_of(group, loose, T.span_fuzzy)))
-    return items.drop("_c", "_l")
-
-
-@F.arrow_udf("array<struct<start:int,end:int>>")
-def _first_candidate(tries):
-    """Spans, entry by entry, of the first candidate that matches any entry."""
-    import pyarrow as pa
-
-    from ..functions.kernels import _SPANS, normalized_span
-
-    out = []
-    for many in tries.to_pylist():
-        best = None
-        for one in many or ():
-            spans = [normalized_span(one["c"], t) if t is not None else None for t in one["t"]]
-            if any(spans):
-                best = [None if s is None else {"start": s[0], "end": s[1]} for s in spans]
-                break
-        out.append(best)
-    return pa.array(out, _SPANS)
-
-
-def _normalized_candidates(tries: Column, group: Column) -> Column:
-    worth = F.filter(tries, lambda t: F.exists(t["t"], lambda c: c.isNotNull()))
-    return some(zipped(group, _first_candidate(F.when(F.size(worth) > 0, worth))))
+    return items.mapInArrow(run, StructType([*items.schema.fields, StructField("found", FOUND)])).drop("_a", "_s")
 
 
 def explode_values(entries: DataFrame, field_map: str = "extracted") -> DataFrame:
@@ -189,14 +93,16 @@ def verify(items: DataFrame) -> DataFrame:
     kept.  A row whose matches are all negated is ``not found`` but keeps its
     evidence.
     """
+    with_terms = "label" in items.columns
     for name, kind in (("term_id", "string"), ("label", "string"), ("exact_synonyms", "array<string>"), ("related_synonyms", "array<string>")):
         if name not in items.columns:
             items = items.withColumn(name, F.lit(None).cast(kind))
     synonyms = F.concat(F.coalesce("exact_synonyms", F.array().cast("array<string>")), F.coalesce("related_synonyms", F.array().cast("array<string>")))
-    items = items.withColumn("candidates", F.concat(F.array("label"), synonyms))
-    found = search_synonyms(search_text(items))
+    if with_terms:
+        items = items.withColumn("candidates", F.concat(F.array("label"), synonyms))
+    found = search_text(items, candidates="candidates" if with_terms else None)
     found = found.withColumn("_m", F.coalesce("found.matches", no_matches()))
-    found = found.withColumn("negated", F.coalesce(negations(F.when(F.size("_m") > 0, F.col("_m"))), F.array().cast("array<boolean>")))
+    found = found.withColumn("negated", F.coalesce("found.negated", F.array().cast("array<boolean>")))
     found = found.withColumn("row_negated", (F.size("negated") > 0) & F.forall("negated", lambda x: x))
     part = lambda f: F.transform("_m", f)
     found = found.select(
