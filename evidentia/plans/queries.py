@@ -146,10 +146,9 @@ def trace_ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRACE_ONTOLOGY_SQL = """
-select c_custkey,
-       case when c_custkey % 3 = 2 then 'not found' when c_custkey % 3 = 1 and n_nationkey is not null then 'not found' else 'ontology synonym' end as strategy,
-       case when c_custkey % 3 = 2 then 0 else 1 end as n_matches,
-       case c_custkey % 3 when 0 then lower(r_name) when 1 then 'Nation ' || n_nationkey end as phrase,
+select c_custkey, case when c_custkey % 3 = 0 and length(r_name) >= 5 then 'ontology synonym' else 'not found' end as strategy,
+       case when c_custkey % 3 = 2 or (c_custkey % 3 = 0 and length(r_name) < 5) then 0 else 1 end as n_matches,
+       case when c_custkey % 3 = 0 and length(r_name) >= 5 then lower(r_name) when c_custkey % 3 = 1 then 'Nation ' || n_nationkey end as phrase,
        'N:' || n_nationkey as assigned_term_id, n_name as assigned_term_label
 from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
 """
