@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .storage import store
 
 #: Width of a bin of each coordinate, and the least standard deviation it is given.
-COORDINATES = {"x0": (0.02, 0.5), "x1": (0.005, 0.08), "x2": (0.005, 0.10), "x3": (0.005, 0.10)}
+COORDINATES = {"x0": (0.02, 0.5), "x1": (0.005, 0.08), "x2": (0.005, 0.14), "x3": (0.005, 0.14)}
 D = len(COORDINATES)
 X = list(COORDINATES)
 DISTANCE_BINS = 32  # bins of a distance of one
