@@ -3,8 +3,8 @@
 A record is framed as ``uint64 length, uint32 masked crc32 of the length, data,
 uint32 masked crc32 of the data`` (little-endian); a mask is the checksum rotated
 right by 15 bits plus 0xA282EAD8, so that checksums of data that hold checksums
-stay apart.  The data are a header (doc_id, the number of ids) and the ids as
-uint32.  Beside each file lies an index of fixed rows (doc_id, byte offset,
+stay apart.  The data are a header (doc_id, the number of ids, the bytes of an id,
+whether the doc_id is null) and the ids, as uint16 where all fit, else uint32.  Beside each file lies an index of fixed rows (doc_id, byte offset,
 number of ids), with which records can be read in any order.
 
 Files are written under a name of the attempt and then renamed, and what a task
@@ -17,6 +17,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,13 +31,13 @@ from .storage import folder, store
 # The frame of a record and the mask of its checksums.
 HEAD = struct.Struct("<QI")
 FOOT = struct.Struct("<I")
-BODY = struct.Struct("<qQI")  # doc_id, ids, whether doc_id is null
+BODY = struct.Struct("<qQBB")  # doc_id, ids, bytes of an id, whether doc_id is null
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("ids", "<u8")])
 MASK_DELTA = 0xA282EAD8
 #: Texts that one file holds, about.
 FILE_BYTES = 64 << 20
 #: Chunks that a worker remembers; the table is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 
 def masked(data: bytes) -> int:
@@ -66,13 +67,25 @@ def unframe(read) -> Iterator[tuple[int, bytes]]:
         at += HEAD.size + size + FOOT.size
 
 
-def pack(doc_id: int | None, ids: bytes) -> bytes:
-    return frame(BODY.pack(doc_id or 0, len(ids) // 4, doc_id is None) + ids)
+def pack(doc_id: int | None, ids: np.ndarray) -> bytes:
+    narrow = not len(ids) or int(ids.max()) < 1 << 16
+    return frame(BODY.pack(doc_id or 0, len(ids), 2 if narrow else 4, doc_id is None) + ids.astype("<u2" if narrow else "<u4").tobytes())
 
 
 def unpack(data: bytes) -> tuple[int | None, np.ndarray]:
-    doc_id, n, null = BODY.unpack_from(data)
-    return None if null else doc_id, np.frombuffer(data, "<u4", count=n, offset=BODY.size)
+    """doc_id and ids as little-endian uint32."""
+    doc_id, n, width, null = BODY.unpack_from(data)
+    return None if null else doc_id, np.frombuffer(data, f"<u{width}", count=n, offset=BODY.size).astype("<u4")
+
+
+_PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_letters() -> dict[int, int]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + k for k, b in enumerate(rest)}
 
 
 @dataclass
@@ -81,7 +94,9 @@ class Encoder:
 
     Such a tokenizer splits a text into pre-tokens and merges inside each.  A
     single space between two other characters always starts a pre-token, so the
-    chunks between such spaces are encoded apart and remembered.
+    chunks between such spaces are encoded apart and remembered.  A new chunk of
+    plain Latin characters is split into pre-tokens here, and the library's model
+    is called for each that is new; any other goes through the whole tokenizer.
     """
 
     path: str
@@ -89,38 +104,61 @@ class Encoder:
     def __post_init__(self):
         import re
 
+        import regex
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(self.path)
-        self.model.encode_special_tokens = True
+        self.tokenizer = Tokenizer.from_file(self.path)
+        self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.pretokens = regex.compile(_PRETOKEN).findall
+        self.plain = re.compile(r"[\n\t\r\x20-\x7e\u00a1-\u024f]*").fullmatch
         solid = r"[^\s\x1c-\x1f\x85\u180e\u200b\ufeff]"  # no white space by anyone's definition
         self.cut = re.compile(f"(?<={solid}) (?={solid})")
+        self.edge = re.compile(r"[\s\x1c-\x1f\x85\u180e\u200b\ufeff]")
         self.known: dict[str, bytes] = {}
+        self.merged: dict[str, bytes] = {}
+
+    def merge(self, pretoken: str) -> bytes:
+        got = self.merged.get(pretoken)
+        if got is None:
+            if len(self.merged) >= REMEMBERED:
+                self.merged = {}
+            written = pretoken.encode().decode("latin-1").translate(self.letters)
+            got = self.merged[pretoken] = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+        return got
+
+    def encode_chunk(self, chunk: str) -> bytes:
+        if self.plain(chunk):
+            return b"".join(map(self.merge, self.pretokens(chunk)))
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian uint32."""
-        chunks = [self.chunks(t) for t in texts]
-        new = list({c for row in chunks for c in row if c not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list({c for row in chunks for c in row})
-        for a in range(0, len(new), 4096):
-            part = new[a : a + 4096]
-            got = self.model.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(part, got, strict=True))
-        look = self.known.__getitem__
-        return [b"".join(map(look, row)) for row in chunks]
-
-    def chunks(self, text: str) -> list[str]:
-        """Parts of the text that are encoded apart; they join to the text."""
-        if not text:
-            return []
-        first, *rest = self.cut.split(text)
-        return [first, *[" " + x for x in rest]]
+        """Ids of each text, as 32-bit integers."""
+        rows = self.chunks(texts)
+        known = self.known
+        new = set().union(*rows).difference(known)
+        if len(known) + len(new) > REMEMBERED:
+            known = self.known = {}
+            new = set().union(*rows)
+        known.update((c, self.encode_chunk(c)) for c in new)
+        look = known.__getitem__
+        return [b"".join(map(look, row)) for row in rows]
+
+    def chunks(self, texts: list[str]) -> list[list[str]]:
+        """Parts of each text that are encoded apart; all but the first start with the space cut at."""
+        rows = [t.split(" ") for t in texts]
+        odd = {p for p in set().union(*rows) if not p or self.edge.match(p) or self.edge.match(p[-1])}
+        out = []
+        for text, row in zip(texts, rows, strict=True):
+            if not odd.isdisjoint(row):
+                row = self.cut.split(text) if text else []
+            out.append([*row[:1], *(" " + x for x in row[1:])])
+        return out
 
 
 def _write(path: str, encoder_path: str, end: int):
-    tail = struct.pack("<I", end)
+    tail = array("I", [end]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -149,11 +187,12 @@ def _write(path: str, encoder_path: str, end: int):
                     if out is None:
                         name, rows, n_ids, at = f"part-{shard:06d}-{len(files):04d}-{uuid.uuid4().hex[:12]}", [], 0, 0
                         out = fs.open_output_stream(f"{root}/{name}")
-                    data = pack(doc_id, ids + tail)
-                    rows.append((doc_id or 0, at, len(ids) // 4 + 1))
+                    ids = np.frombuffer(ids + tail, dtype=np.uint32)
+                    data = pack(doc_id, ids)
+                    rows.append((doc_id or 0, at, len(ids)))
                     out.write(data)
                     at += len(data)
-                    n_ids += len(ids) // 4 + 1
+                    n_ids += len(ids)
                     if at >= FILE_BYTES:
                         finish()
                         out = None

@@ -301,11 +301,22 @@ def test_records_round_trip(spark, docs, rows, tmp_path):
     assert all(sums[k] == zlib.crc32(bytes(v["ids"])) for k, v in got.items())
 
 
+def test_chunks_encode_as_whole_texts():
+    from evidentia.llm.queries import vocabulary
+
+    e = token_output.Encoder(vocabulary("byte_bpe_50k.json"))
+    rng = np.random.default_rng(3)
+    parts = [" ", "  ", "\n", "\t", "a", "I'll", "'s", "12", "½", "é", "Ünï", "漢字", "!?", "\x1c", "\x85", "\xa0", "\u200b", "<|endoftext|>", "ﬁ", "😀", "_", "ab cd", "\r\n", "x1"]
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, 14)))) for _ in range(3000)]
+    want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(b, np.uint32).tolist() for b in e.encode(texts)] == want
+
+
 def test_damage_is_noticed():
     import io
 
-    data = token_output.pack(3, b"\x01\x00\x00\x00") + token_output.pack(None, b"")
-    assert [token_output.unpack(d)[0] for _, d in token_output.unframe(io.BytesIO(data).read)] == [3, None]
+    data = token_output.pack(3, np.array([1, 70000], dtype=np.uint32)) + token_output.pack(None, np.zeros(0, dtype=np.uint32))
+    assert [(i, ids.tolist()) for i, ids in (token_output.unpack(d) for _, d in token_output.unframe(io.BytesIO(data).read))] == [(3, [1, 70000]), (None, [])]
     for at in (2, 14, len(data) - 1):
         broken = bytearray(data)
         broken[at] ^= 1
