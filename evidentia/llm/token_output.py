@@ -117,6 +117,7 @@ class Encoder:
         self.cut = re.compile(f"(?<={solid}) (?={solid})")
         self.edge = re.compile(r"[\s\x1c-\x1f\x85\u180e\u200b\ufeff]")
         self.known: dict[str, bytes] = {}
+        self.odd: set[str] = set()
         self.merged: dict[str, bytes] = {}
 
     def merge(self, pretoken: str) -> bytes:
@@ -129,33 +130,48 @@ class Encoder:
         return got
 
     def encode_chunk(self, chunk: str) -> bytes:
+        word = chunk[1:]
+        if word.isascii():
+            if word.isalpha():
+                return self.merge(chunk)  # one pre-token
+            if word[-1:] in (".", ",") and word[:-1].isalpha():
+                return self.merge(chunk[:-1]) + self.merge(word[-1])
         if self.plain(chunk):
             return b"".join(map(self.merge, self.pretokens(chunk)))
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as 32-bit integers."""
-        rows = self.chunks(texts)
-        known = self.known
-        new = set().union(*rows).difference(known)
-        if len(known) + len(new) > REMEMBERED:
-            known = self.known = {}
-            new = set().union(*rows)
-        known.update((c, self.encode_chunk(c)) for c in new)
-        look = known.__getitem__
-        return [b"".join(map(look, row)) for row in rows]
+        """Ids of each text, as 32-bit integers.
 
-    def chunks(self, texts: list[str]) -> list[list[str]]:
-        """Parts of each text that are encoded apart; all but the first start with the space cut at."""
+        ``known`` holds the ids of chunks under their text without the space that
+        starts them; a text's first part has none and is remembered apart.
+        """
         rows = [t.split(" ") for t in texts]
-        odd = {p for p in set().union(*rows) if not p or self.edge.match(p) or self.edge.match(p[-1])}
-        out = []
+        new = set().union(*rows).difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, self.odd = {}, set()
+            new = set().union(*rows)
+        for p in new:
+            if not p or self.edge.match(p) or self.edge.match(p[-1]):
+                self.odd.add(p)
+                self.known[p] = b""  # such parts are never looked up; see below
+            else:
+                self.known[p] = self.encode_chunk(" " + p)
+        look, odd, out = self.known.__getitem__, self.odd, []
         for text, row in zip(texts, rows, strict=True):
-            if not odd.isdisjoint(row):
-                row = self.cut.split(text) if text else []
-            out.append([*row[:1], *(" " + x for x in row[1:])])
+            if odd.isdisjoint(row):
+                out.append(self.first(row[0]) + b"".join(map(look, row[1:])))
+            else:
+                parts = self.cut.split(text) if text else []
+                out.append(b"".join([self.first(p) if k == 0 else self.encode_chunk(" " + p) for k, p in enumerate(parts)]))
         return out
 
+    def first(self, part: str) -> bytes:
+        """Ids of what stands before the first cut."""
+        if self.plain(part):
+            return b"".join(map(self.merge, self.pretokens(part)))
+        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+
 
 def _write(path: str, encoder_path: str, end: int):
     tail = array("I", [end]).tobytes()
