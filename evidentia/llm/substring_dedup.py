@@ -229,13 +229,15 @@ def remove_repeats(docs: DataFrame, p: Repeat = Repeat()) -> DataFrame:
     counted = rows.mapInArrow(_prefixes(p), "key long, id long, r int, runs int, suffixes int").repartition(parts, "key")
     same = Window.partitionBy("key")
     counted = counted.withColumn("n", F.sum("runs").over(same)).withColumn("m", F.sum("suffixes").over(same)).where("n > 1")
-    shared = counted.groupBy("id", "r").agg(F.collect_list(F.struct("key", (F.col("m") > p.group_size).cast("byte").alias("large"))).alias("x"))
-    shared = shared.select("id", "r", F.col("x.key").alias("keys"), F.col("x.large").alias("large"))
-    suffixes = rows.join(shared.hint("merge"), ["id", "r"]).select("id", "r", "text", "keys", "large").mapInArrow(_suffixes(p), "grp long, id long, r int, start int, paths binary")
+    # joined on id alone, so that the texts stay where their one shuffle put them
+    shared = counted.groupBy("id").agg(F.collect_list(F.struct("r", "key", (F.col("m") > p.group_size).cast("byte").alias("large"))).alias("x"))
+    given = rows.join(shared.hint("merge"), "id").withColumn("x", F.filter("x", lambda e: e["r"] == F.col("r")))
+    suffixes = given.select("id", "r", "text", F.col("x.key").alias("keys"), F.col("x.large").alias("large")).mapInArrow(_suffixes(p), "grp long, id long, r int, start int, paths binary")
     suffixes = suffixes.repartition(parts, "grp").sortWithinPartitions("grp", "id", "r", "start")
     later = suffixes.mapInArrow(_later, "id long, r int, start int, n int, bits binary")
-    hits = later.groupBy("id", "r").agg(F.collect_list(F.struct("start", "n", "bits")).alias("hits"))
-    return rows.join(hits.hint("merge"), ["id", "r"], "left").select("id", "r", "text", "hits").mapInArrow(_cut(p), "doc_id long, n_words long, n_removed long, kept string, spans array<int>")
+    hits = later.groupBy("id").agg(F.collect_list(F.struct("r", "start", "n", "bits")).alias("hits"))
+    given = rows.join(hits.hint("merge"), "id", "left").withColumn("hits", F.filter("hits", lambda e: e["r"] == F.col("r")))
+    return given.select("id", "r", "text", "hits").mapInArrow(_cut(p), "doc_id long, n_words long, n_removed long, kept string, spans array<int>")
 
 
 def repeat_table(docs: DataFrame, p: Repeat = Repeat()) -> DataFrame:
