@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from .storage import store
 
 #: Width of a bin of each coordinate, and the least standard deviation it is given.
-COORDINATES = {"x0": (0.02, 0.5), "x1": (0.005, 0.08), "x2": (0.005, 0.14), "x3": (0.005, 0.14)}
+COORDINATES = {"x0": (0.02, 0.5), "x1": (0.005, 0.03), "x2": (0.005, 0.11), "x3": (0.005, 0.11)}
+#: Lines and words without a repetition that every text is credited with, so one repeated line of a short text is little evidence.
+FREE_LINES, FREE_WORDS = 5, 50
 D = len(COORDINATES)
 X = list(COORDINATES)
 DISTANCE_BINS = 32  # bins of a distance of one
@@ -33,15 +35,14 @@ class Mcd:
     """``factor`` makes the scatter of the nearest ``share`` rows consistent for normal data.
 
     For 4 coordinates and a share of 0.75 it is 0.75 / P(chi2_6 < q) with q the
-    0.75 quantile of chi2_4.  ``cutoff`` is a squared distance far out in the tail
-    of chi2_4, as the statistics are skewed.  Groups below ``least`` rows are
-    pooled.
+    0.75 quantile of chi2_4.  ``cutoff`` is the quantile of chi2_4 that one in a
+    million exceeds.  Groups below ``least`` rows are pooled.
     """
 
     share: float = 0.75
     factor: float = 1.485
     steps: int = 3
-    cutoff: float = 60.0
+    cutoff: float = 33.4
     least: int = 60
 
 
@@ -83,12 +84,12 @@ def base_failed() -> Column:
 
 
 def vector() -> list[Column]:
-    """Mean word length, and square roots of the shares of symbols, repeated lines and repeated words."""
+    """Mean word length, and square roots of the shares of symbols, repeated lines and repeated words, the latter two with free ones."""
     return [
         (F.col("word_chars") / F.greatest("n_words", F.lit(1))).alias("x0"),
         F.sqrt(F.col("n_symbols") / F.greatest("word_chars", F.lit(1))).alias("x1"),
-        F.sqrt(F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1))).alias("x2"),
-        F.sqrt(F.col("n_repeat_words") / F.greatest("n_words", F.lit(1))).alias("x3"),
+        F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + FREE_LINES)).alias("x2"),
+        F.sqrt(F.col("n_repeat_words") / (F.col("n_words") + FREE_WORDS)).alias("x3"),
     ]
 
 

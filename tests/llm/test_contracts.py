@@ -213,6 +213,28 @@ def test_outliers_are_rejected_and_clean_rows_kept(spark):
     assert sum(kept[i] for i in range(150)) >= 149
 
 
+def test_symbols_and_repeats_alone_are_outliers(spark):
+    """10 % of symbols, 90 % of repeated lines or 45 % of repeated words are outliers; a short text with one repeated line is none."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 9)))) for _ in range(2000)]
+    text = lambda k: " ".join(rng.choice(words, k))
+    clean = ["\n".join(text(12) for _ in range(10)) for _ in range(150)]
+    symbols = ["\n".join(" ".join(w + "|" * (i % 5 > 1) for i, w in enumerate(text(10).split())) for _ in range(12)) for _ in range(4)]
+    lines = ["\n".join(rng.choice(words[:12], 120)) for _ in range(4)]
+    repeats = [f"{a}\n{text(88)}\n{a}" for a in (text(36) for _ in range(4))]
+    short = [f"{a}\n{text(60)}\n{a}" for a in (text(9) for _ in range(4))]
+    cases = {"clean": clean, "symbols": symbols, "lines": lines, "repeats": repeats, "short": short}
+    rows = [(k, kind, t) for k, (kind, t) in enumerate((kind, t) for kind, texts in cases.items() for t in texts)]
+    docs = spark.createDataFrame([(k, t, "en", "s") for k, _, t in rows], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in table(quality_rules.judge(docs))}
+    for k, kind, _ in rows:
+        if kind in ("symbols", "lines", "repeats"):
+            assert not got[k]["base_failed"] and not got[k]["kept"], (kind, got[k])
+        if kind == "short":
+            assert got[k]["kept"], got[k]
+    assert sum(got[k]["kept"] for k, kind, _ in rows if kind == "clean") >= 149
+
+
 def test_concentration_agrees_with_numpy(spark):
     """The native steps against the same steps in NumPy."""
     rng = np.random.default_rng(2)
