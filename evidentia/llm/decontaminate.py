@@ -51,11 +51,16 @@ _LOWER[65:91] += 32
 
 @dataclass(frozen=True)
 class Template:
-    """``words`` a window, ``literal`` of them no placeholders; ``cover`` matched words make a leak."""
+    """``words`` a window, ``literal`` of them no placeholders; ``cover`` matched words make a leak.
+
+    Beside a matched window a run of ``flank`` words counts as well, if no more than ``flank`` words
+    of the document or the item lie between.
+    """
 
     words: int = 8
     literal: int = 5
     cover: int = 13
+    flank: int = 4
     max_block: int = 4 << 20  # bytes of benchmark text sent to the tasks at a time
 
 
@@ -116,6 +121,7 @@ class Index:
     hash: np.ndarray  # of windows, ascending
     item: np.ndarray  # row of items
     pos: np.ndarray
+    whole: dict[int, dict[int, list[int]]]  # k: {hash of the first k words, 8 at most: rows of items}, where windows cannot make a leak
 
 
 def _window_hashes(w: Words, slot: np.ndarray, p: Template) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,7 +139,16 @@ def build_index(items: list[int], texts: list[str | None], p: Template) -> Index
     w, surface, slot = canonical(pa.array(texts, pa.string()))
     h, row, pos = _window_hashes(w, slot, p)
     order = np.argsort(h, kind="stable")
-    return Index(items, w.count, w.off, w.hash, surface, h[order], row[order], pos[order])
+    places: dict[int, set[int]] = defaultdict(set)
+    for i, s in zip(row.tolist(), pos.tolist(), strict=True):
+        places[i].update(range(s, s + p.words))
+    whole: dict[int, dict[int, list[int]]] = {}
+    for i, n in enumerate(w.count.tolist()):
+        if n and len(places[i]) < min(p.cover, n):
+            one = Words(w.data, w.text_off, w.start, w.end, surface[w.off[i] : w.off[i + 1]], np.array([0, n]))
+            k = min(n, 8)
+            whole.setdefault(k, {}).setdefault(int(windows(one, k, seed=12)[0][0]), []).append(i)
+    return Index(items, w.count, w.off, w.hash, surface, h[order], row[order], pos[order], whole)
 
 
 def _consistent(index: Index, item: int, surface: np.ndarray, slot: np.ndarray, shift: int, starts: list[int], p: Template) -> set[int]:
@@ -157,11 +172,131 @@ def _consistent(index: Index, item: int, surface: np.ndarray, slot: np.ndarray,
     return {k for s in starts if same(s) for k in range(s, s + p.words)}
 
 
+@dataclass
+class _Chain:
+    """Alignments that follow each other: the shift of each covered item position, and what each slot value stands for."""
+
+    shift: dict[int, int]
+    there: dict[int, int]
+    back: dict[int, int]
+
+    def ends(self) -> tuple[int, int]:
+        """The last covered position of the item and of the document."""
+        k = max(self.shift)
+        return k, k + self.shift[k]
+
+    def with_(self, index: Index, item: int, surface: np.ndarray, slot: np.ndarray, places: list[int], shift: int) -> _Chain | None:
+        """The chain and these places, or None where a slot value would stand for two."""
+        base = int(index.off[item])
+        there, back = dict(self.there), dict(self.back)
+        for k in places:
+            if slot[k + shift]:
+                a, b = int(index.surface[base + k]), int(surface[k + shift])
+                if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
+                    return None
+        return _Chain(self.shift | dict.fromkeys(places, shift), there, back)
+
+
+def _flanked(index: Index, item: int, template: np.ndarray, surface: np.ndarray, slot: np.ndarray, chain: _Chain, p: Template) -> _Chain:
+    """The chain with the short runs before, between and after its places."""
+    n, base = int(index.size[item]), int(index.off[item])
+
+    def run(k: int, d: int, step: int, k_end: int, d_end: int) -> list[int]:
+        """Item positions from ``k`` on whose words are those of the document from ``d`` on."""
+        out = []
+        while k != k_end and d != d_end and index.template[base + k] == template[d]:
+            out.append(k)
+            k, d = k + step, d + step
+        return out
+
+    def grow(chain: _Chain, k: int, d: int, step: int, k_end: int, d_end: int) -> _Chain:
+        while True:
+            found = []
+            for over in range(p.flank + 1):
+                for lost in range(p.flank + 1):
+                    i, j = k + step * (1 + lost), d + step * (1 + over)
+                    if (k_end - i) * step <= 0 or (d_end - j) * step <= 0:
+                        continue
+                    got = run(i, j, step, k_end, d_end)
+                    solid = sum(not slot[x + j - i] for x in got)
+                    if len(got) >= p.flank and solid * p.words >= p.literal * len(got) or (got and over == lost == 0):
+                        found.append((len(got), -over - lost, got, j - i))
+            for _, _, got, shift in sorted(found, reverse=True):
+                more = chain.with_(index, item, surface, slot, got, shift)
+                if more is not None:
+                    chain, k, d = more, got[-1], got[-1] + shift
+                    break
+            else:
+                return chain
+
+    places = sorted(chain.shift)
+    first = places[0]
+    out = grow(chain, first, first + chain.shift[first], -1, -1, -1)
+    for k, after in zip(places, [*places[1:], n], strict=True):
+        if after != k + 1 or after == n:
+            out = grow(out, k, k + chain.shift[k], 1, after, after + chain.shift[after] if after < n else len(template))
+    return out
+
+
+def _joined(index: Index, item: int, template: np.ndarray, surface: np.ndarray, slot: np.ndarray, lines: dict[int, list[int]], p: Template) -> dict[int, int]:
+    """{item position: shift} of the alignments of an item that cover most of it when joined.
+
+    An alignment may follow another one if it lies behind it in both the item and
+    the document, with no more words between than the item has.
+    """
+    size = int(index.size[item])
+    best: dict[int, int] = {}
+    runs: list[tuple[int, int, list[int]]] = []  # first word in the document, shift, places
+    for shift, starts in lines.items():
+        starts = sorted(starts)
+        alone = _consistent(index, item, surface, slot, shift, starts, p)
+        if len(alone) > len(best):
+            best = dict.fromkeys(alone, shift)
+        cut = [0, *(i for i in range(1, len(starts)) if starts[i] > starts[i - 1] + p.words), len(starts)]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            places = sorted({k for s in starts[a:b] for k in range(s, s + p.words)})
+            runs.append((places[0] + shift, shift, places))
+    if len(best) == size:
+        return best
+    runs.sort()
+    empty = _Chain({}, {}, {})
+    chains: list[_Chain | None] = []
+    for j, (d, shift, places) in enumerate(runs):
+        top = empty.with_(index, item, surface, slot, places, shift)
+        parts = [places]
+        if top is None:  # a slot at an end may be half of what was inserted
+            a, b = int(slot[places[0] + shift]), int(slot[places[-1] + shift])
+            parts = [places[x : len(places) - y] for x, y in ((a, 0), (0, b), (a, b)) if x + y]
+            same = _consistent(index, item, surface, slot, shift, [s for s in lines[shift] if places[0] <= s <= places[-1]], p)
+            parts += [sorted(same)] if same else []
+            alone = [c for c in (empty.with_(index, item, surface, slot, x, shift) for x in parts) if c is not None]
+            top = max(alone, key=lambda c: len(c.shift), default=None)
+        for i in range(j - 1, -1, -1):
+            if d - runs[i][0] > 2 * size:
+                break
+            if chains[i] is None:
+                continue
+            last, end = chains[i].ends()
+            for part in parts:
+                rest = [k for k in part if k > last and k + shift > end]
+                if rest and rest[0] + shift - end - 1 <= size and (top is None or len(chains[i].shift) + len(rest) > len(top.shift)):
+                    top = chains[i].with_(index, item, surface, slot, rest, shift) or top
+        chains.append(top)
+    for chain in sorted((c for c in chains if c is not None), key=lambda c: -len(c.shift)):
+        whole = _flanked(index, item, template, surface, slot, chain, p)
+        if len(whole.shift) > len(best):
+            best = whole.shift
+        if len(best) >= size:
+            break
+    return best
+
+
 def _finder(index: Index, p: Template):
     """A function from texts to {(row, item): (covered words, same words)}."""
     low = np.uint64((1 << 20) - 1)
     may = np.zeros(1 << 20, dtype=bool)
     may[index.hash & low] = True
+    keys = {n: np.sort(np.array(list(rows), dtype=np.uint64)) for n, rows in index.whole.items()}
 
     def find(texts: pa.Array) -> dict[tuple[int, int], tuple[int, int]]:
         w, surface, slot = canonical(texts)
@@ -169,17 +304,28 @@ def _finder(index: Index, p: Template):
         some = np.flatnonzero(may[h & low])
         first = np.searchsorted(index.hash, h[some], "left")
         last = np.searchsorted(index.hash, h[some], "right")
-        lines: dict[tuple[int, int, int], list[int]] = defaultdict(list)
+        lines: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for k, a, b in zip(some.tolist(), first.tolist(), last.tolist(), strict=True):
             for j in range(a, b):
-                lines[int(row[k]), int(index.item[j]), int(pos[k] - index.pos[j])].append(int(index.pos[j]))
+                lines[int(row[k]), int(index.item[j])][int(pos[k] - index.pos[j])].append(int(index.pos[j]))
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for (r, item, shift), starts in lines.items():
+        for (r, item), shifts in lines.items():
             at, end, base = int(w.off[r]), int(w.off[r + 1]), int(index.off[item])
-            covered = _consistent(index, item, surface[at:end], slot[at:end], shift, sorted(starts), p)
+            covered = _joined(index, item, w.hash[at:end], surface[at:end], slot[at:end], shifts, p)
             if len(covered) >= min(p.cover, int(index.size[item])):
-                same = sum(int(index.surface[base + k]) == int(surface[at + k + shift]) for k in covered)
-                best[r, item] = max(best.get((r, item), (0, 0)), (len(covered), same))
+                same = sum(int(index.surface[base + k]) == int(surface[at + k + shift]) for k, shift in covered.items())
+                best[r, item] = (len(covered), same)
+        plain = Words(w.data, w.text_off, w.start, w.end, surface, w.off)
+        for k, wanted in keys.items():
+            g, off = windows(plain, k, seed=12)
+            place = np.minimum(np.searchsorted(wanted, g), len(wanted) - 1)
+            for j in np.flatnonzero(wanted[place] == g).tolist():
+                r = int(np.searchsorted(off, j, "right")) - 1
+                at = int(w.off[r]) + j - int(off[r])
+                for item in index.whole[k][int(g[j])]:
+                    n, base = int(index.size[item]), int(index.off[item])
+                    if at + n <= w.off[r + 1] and (surface[at : at + n] == index.surface[base : base + n]).all():
+                        best[r, item] = (n, n)
         return best
 
     return find
@@ -200,9 +346,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Template = Template()) -> Da
     """One row (doc_id, item_id, n_matched, n_same) for each row of ``docs`` and item that it holds.
 
     ``n_matched`` is the number of template words of the item covered on the best
-    alignment (``cover`` at least, or the whole item), ``n_same`` how many of them
-    are the same words.  Items with fewer than ``words`` template words, null or
-    empty ones match nothing, as do null and empty texts.  Repeated items and
+    joined alignments (``cover`` at least, or the whole item), ``n_same`` how many
+    of them are the same words.  An item whose windows cover less than that, as one
+    with fewer than ``words`` template words or with many placeholders, matches
+    where all its words stand in a row.  Null and empty items match nothing, as do
+    null and empty texts.  Repeated items and
     rows are reported each; null ids are reported as null.  Other columns are
     ignored.  Without documents or items there are no rows.
     """

@@ -420,6 +420,34 @@ def test_inconsistent_slots_do_not_match(spark):
     assert {r["doc_id"] for r in table(decontaminate.leaks(docs, items))} == {3}
 
 
+def test_alignments_that_follow_each_other_are_joined(spark):
+    """A word inserted or lost, or a name replaced by two words, in the middle of a short item."""
+    item = "Every morning the tired baker from the northern village greets Maria near an ancient stone bridge before work begins again"
+    words = item.split()
+    texts = {
+        1: item.replace("Maria", "Ann Lee"),
+        2: " ".join([*words[:9], "warmly", *words[9:]]),
+        3: " ".join(words[:9] + words[10:]),
+        4: " ".join([*words[:6], "very", "remote", *words[6:]]),
+        5: " ".join([*words[10:], "then", *words[:10]]),  # the halves in the wrong order
+        6: " ".join([*words[:9], *(f"other{i}" for i in range(40)), *words[11:]]),  # too far apart
+        7: " ".join(words[:9]) + " and nothing else of it",
+    }
+    docs = spark.createDataFrame([(k, f"Some prose before it. {t} while more prose follows") for k, t in texts.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r["doc_id"] for r in table(decontaminate.leaks(docs, items))} == {1, 2, 3, 4}
+    assert {r["doc_id"] for r in table(decontaminate.decontaminate(docs, items))} == {5, 6, 7}
+
+
+def test_items_without_usable_windows_match_as_a_whole(spark):
+    short, dense = "Which river crosses Vienna", "Add 3 km and 4 km and 5 km and 6 km and 7 km to 8 km"
+    docs = spark.createDataFrame([(1, f"Quiz: {short}? Yes"), (2, f"so {dense} now"), (3, "Which river crosses it"), (4, dense.replace("8", "9")), (5, short), (6, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, short), (2, dense)], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["n_matched"], r["n_same"]) for r in table(decontaminate.leaks(docs, items)))
+    assert got == [(1, 1, 4, 4), (2, 2, 18, 18), (5, 1, 4, 4)]
+    assert {r["doc_id"] for r in table(decontaminate.decontaminate(docs, items))} == {3, 4, 6}
+
+
 def test_benchmark_blocks_give_the_same_leaks(spark):
     docs = spark.createDataFrame([(i, f"before {ITEM.replace('old', w)} after") for i, w in enumerate(["red", "blue", "green"])], "doc_id long, text string")
     items = spark.createDataFrame([(i, ITEM.replace("old", w)) for i, w in enumerate(["red", "blue", "green"])], "item_id long, text string")
