@@ -96,7 +96,8 @@ class Encoder:
     single space between two other characters always starts a pre-token, so the
     chunks between such spaces are encoded apart and remembered.  A new chunk of
     plain Latin characters is split into pre-tokens here, and the library's model
-    is called for each that is new; any other goes through the whole tokenizer.
+    is called for each that is new; any other goes through the whole tokenizer, as
+    does a whole text that holds the content of an added token.
     """
 
     path: str
@@ -108,7 +109,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(self.path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [a.content for a in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.pretokens = regex.compile(_PRETOKEN).findall
@@ -146,7 +147,8 @@ class Encoder:
         ``known`` holds the ids of chunks under their text without the space that
         starts them; a text's first part has none and is remembered apart.
         """
-        rows = [t.split(" ") for t in texts]
+        whole = {k for k, t in enumerate(texts) if any(a in t for a in self.added)}
+        rows = [[] if k in whole else t.split(" ") for k, t in enumerate(texts)]
         new = set().union(*rows).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known, self.odd = {}, set()
@@ -158,12 +160,14 @@ class Encoder:
             else:
                 self.known[p] = self.encode_chunk(" " + p)
         look, odd, out = self.known.__getitem__, self.odd, []
-        for text, row in zip(texts, rows, strict=True):
-            if odd.isdisjoint(row):
+        for k, (text, row) in enumerate(zip(texts, rows, strict=True)):
+            if k in whole:
+                out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+            elif odd.isdisjoint(row):
                 out.append(self.first(row[0]) + b"".join(map(look, row[1:])))
             else:
                 parts = self.cut.split(text) if text else []
-                out.append(b"".join([self.first(p) if k == 0 else self.encode_chunk(" " + p) for k, p in enumerate(parts)]))
+                out.append(b"".join([self.first(p) if i == 0 else self.encode_chunk(" " + p) for i, p in enumerate(parts)]))
         return out
 
     def first(self, part: str) -> bytes:

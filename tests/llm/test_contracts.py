@@ -334,6 +334,19 @@ def test_chunks_encode_as_whole_texts():
     assert [np.frombuffer(b, np.uint32).tolist() for b in e.encode(texts)] == want
 
 
+def test_added_tokens_encode_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    from evidentia.llm.queries import vocabulary
+
+    path = vocabulary("byte_bpe_50k.json")
+    model = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "two words<|endoftext|>\n <|endoftext|> x", "<|endoftext| >", "plain text", ""]
+    want = [model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50256 in want[0]
+    assert [np.frombuffer(b, np.uint32).tolist() for b in token_output.Encoder(path).encode(texts)] == want
+
+
 def test_damage_is_noticed():
     import io
 
