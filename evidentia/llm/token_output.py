@@ -14,6 +14,7 @@ leaves whole files only.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -23,10 +24,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import folder, store
+from .wordhash import blocks
 
 # The frame of a record and the mask of its checksums.
 HEAD = struct.Struct("<QI")
@@ -36,8 +39,14 @@ INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("ids", "<u8")])
 MASK_DELTA = 0xA282EAD8
 #: Texts that one file holds, about.
 FILE_BYTES = 64 << 20
-#: Chunks that a worker remembers; the table is emptied when it is full.
-REMEMBERED = 500_000
+#: Words that a worker remembers, at most as many again from the table before.
+REMEMBERED = 600_000
+#: New words that the library encodes at a time.
+TOGETHER = 20_000
+#: A space as byte-level vocabularies write it.
+SPACE = "\u0120"
+#: Text that is encoded at a time; a longer text is one block.
+BLOCK_BYTES = 8 << 20
 
 
 def masked(data: bytes) -> int:
@@ -78,26 +87,17 @@ def unpack(data: bytes) -> tuple[int | None, np.ndarray]:
     return None if null else doc_id, np.frombuffer(data, f"<u{width}", count=n, offset=BODY.size).astype("<u4")
 
 
-_PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def _byte_letters() -> dict[int, int]:
-    """The printable character that byte-level vocabularies write for each byte."""
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in own]
-    return {b: b for b in own} | {b: 256 + k for k, b in enumerate(rest)}
-
-
 @dataclass
 class Encoder:
     """A byte-level tokenizer of the ``tokenizers`` library, loaded from a file.
 
     Such a tokenizer splits a text into pre-tokens and merges inside each.  A
-    single space between two other characters always starts a pre-token, so the
-    chunks between such spaces are encoded apart and remembered.  A new chunk of
-    plain Latin characters is split into pre-tokens here, and the library's model
-    is called for each that is new; any other goes through the whole tokenizer, as
-    does a whole text that holds the content of an added token.
+    single space between two characters that are no white space always starts a
+    pre-token, so texts are split at spaces in one Arrow call, each distinct word
+    of a block is looked up once, and another Arrow call puts their ids in turn.
+    New words go to the library many at a time.  A text goes to the library whole if
+    white space touches a space in it, if it holds the content of an added token, or
+    if the file describes another kind of tokenizer.
     """
 
     path: str
@@ -105,80 +105,98 @@ class Encoder:
     def __post_init__(self):
         import re
 
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(self.path)
+        self.byte_level = _is_byte_level(json.loads(self.tokenizer.to_str()))
         self.added = [a.content for a in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model = self.tokenizer.model
-        self.letters = _byte_letters()
-        self.pretokens = regex.compile(_PRETOKEN).findall
-        self.plain = re.compile(r"[\n\t\r\x20-\x7e\u00a1-\u024f]*").fullmatch
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(SPACE) for i in range(self.tokenizer.get_vocab_size() + 1)])
         solid = r"[^\s\x1c-\x1f\x85\u180e\u200b\ufeff]"  # no white space by anyone's definition
-        self.cut = re.compile(f"(?<={solid}) (?={solid})")
-        self.edge = re.compile(r"[\s\x1c-\x1f\x85\u180e\u200b\ufeff]")
-        self.known: dict[str, bytes] = {}
-        self.odd: set[str] = set()
-        self.merged: dict[str, bytes] = {}
-
-    def merge(self, pretoken: str) -> bytes:
-        got = self.merged.get(pretoken)
-        if got is None:
-            if len(self.merged) >= REMEMBERED:
-                self.merged = {}
-            written = pretoken.encode().decode("latin-1").translate(self.letters)
-            got = self.merged[pretoken] = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
-        return got
-
-    def encode_chunk(self, chunk: str) -> bytes:
-        word = chunk[1:]
-        if word.isascii():
-            if word.isalpha():
-                return self.merge(chunk)  # one pre-token
-            if word[-1:] in (".", ",") and word[:-1].isalpha():
-                return self.merge(chunk[:-1]) + self.merge(word[-1])
-        if self.plain(chunk):
-            return b"".join(map(self.merge, self.pretokens(chunk)))
-        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as 32-bit integers.
-
-        ``known`` holds the ids of chunks under their text without the space that
-        starts them; a text's first part has none and is remembered apart.
+        self.solid = re.compile(f"{solid}(?:.*{solid})?", re.DOTALL).fullmatch
+        self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        """Adds the ids of words behind a space to the table, or None where white space touches the spaces around one.
+
+        The library encodes new words as one text; each word's first token is the only one that opens with a space.
         """
-        whole = {k for k, t in enumerate(texts) if any(a in t for a in self.added)}
-        rows = [[] if k in whole else t.split(" ") for k, t in enumerate(texts)]
-        new = set().union(*rows).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, self.odd = {}, set()
-            new = set().union(*rows)
-        for p in new:
-            if not p or self.edge.match(p) or self.edge.match(p[-1]):
-                self.odd.add(p)
-                self.known[p] = b""  # such parts are never looked up; see below
+        older, new = self.older, []
+        for w in words:
+            if w in older:
+                self.known[w] = older[w]
+            elif self.solid(w):
+                new.append(w)
             else:
-                self.known[p] = self.encode_chunk(" " + p)
-        look, odd, out = self.known.__getitem__, self.odd, []
-        for k, (text, row) in enumerate(zip(texts, rows, strict=True)):
-            if k in whole:
-                out.append(array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
-            elif odd.isdisjoint(row):
-                out.append(self.first(row[0]) + b"".join(map(look, row[1:])))
-            else:
-                parts = self.cut.split(text) if text else []
-                out.append(b"".join([self.first(p) if i == 0 else self.encode_chunk(" " + p) for i, p in enumerate(parts)]))
-        return out
-
-    def first(self, part: str) -> bytes:
-        """Ids of what stands before the first cut."""
-        if self.plain(part):
-            return b"".join(map(self.merge, self.pretokens(part)))
-        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+                self.known[w] = None
+        for a in range(0, len(new), TOGETHER):
+            part = new[a : a + TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) == len(part):
+                raw, ends = ids.tobytes(), (4 * np.append(at, len(ids))).tolist()
+                self.known.update(zip(part, [raw[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], strict=True))
+            else:  # a vocabulary with spaces inside tokens
+                self.known.update((w, self.whole(" " + w)) for w in part)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn, and the offsets of each text; a null is empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if len(texts) == 0:
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        whole = np.zeros(len(texts), dtype=bool) if self.byte_level else np.ones(len(texts), dtype=bool)
+        for a in self.added:
+            whole |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        if len(self.known) > REMEMBERED:  # words that are used again move over
+            self.older, self.known = self.known, {}
+        rows = pc.split_pattern(texts, " ")
+        coded = rows.flatten().dictionary_encode()
+        off = rows.offsets.to_numpy()
+        first = off[:-1] - off[0]  # what stands before the first space has none before it
+        code = coded.indices.to_numpy().copy()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn([w for w in words if w not in self.known])
+        ids = [self.known[w] for w in words]
+        touched = np.array([i is None for i in ids])
+        code[first] = n = len(ids)  # an empty entry
+        ids.append(b"")
+        whole |= np.add.reduceat(np.append(touched, False)[code], first) > 0
+        texts = texts.to_pylist()
+        heads = [t.split(" ", 1)[0] for t in texts]
+        whole |= [h != "" and not self.solid(h[-1]) for h in heads]
+        code[np.repeat(whole, np.diff(off))] = n
+        for k, (text, head) in enumerate(zip(texts, heads, strict=True)):
+            code[first[k]] = len(ids)
+            ids.append(self.whole(text if whole[k] else head))
+        joined = pa.array(ids, pa.large_binary()).take(pa.array(code))
+        ends = np.frombuffer(joined.buffers()[1], np.int64)[: len(code) + 1] // 4
+        return np.frombuffer(joined.buffers()[2], np.uint32)[: ends[-1]], ends[np.append(first, len(code))]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The process's encoder, which remembers words from one task to the next."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def _is_byte_level(tokenizer: dict) -> bool:
+    """Whether a tokenizer file describes what the shortcuts of ``Encoder`` rest on."""
+    before, model = tokenizer["pre_tokenizer"] or {}, tokenizer["model"]
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    split = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    return bool(tokenizer["normalizer"] is None and split and model["type"] == "BPE" and plain)
 
 
 def _write(path: str, encoder_path: str, end: int):
-    tail = array("I", [end]).tobytes()
+    tail = np.uint32(end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -187,7 +205,7 @@ def _write(path: str, encoder_path: str, end: int):
         from pyarrow.fs import FileSystem
         from pyspark import TaskContext
 
-        encoder = Encoder(encoder_path)
+        encode = encoder(encoder_path).encode
         fs, root = FileSystem.from_uri(path)
         shard = TaskContext.get().partitionId()
         out, name, rows, n_ids, at, files = None, "", [], 0, 0, []
@@ -200,14 +218,13 @@ def _write(path: str, encoder_path: str, end: int):
             files.append((shard, len(files), f"{name}.rec", len(rows), n_ids))
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                texts = ["" if t is None else t for t in part.column(1).to_pylist()]
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
+            for part in blocks(batch, "text", BLOCK_BYTES):
+                flat, off = encode(part.column(1))
+                for doc_id, a, b in zip(part.column(0).to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
                     if out is None:
                         name, rows, n_ids, at = f"part-{shard:06d}-{len(files):04d}-{uuid.uuid4().hex[:12]}", [], 0, 0
                         out = fs.open_output_stream(f"{root}/{name}")
-                    ids = np.frombuffer(ids + tail, dtype=np.uint32)
+                    ids = np.append(flat[a:b], tail)
                     data = pack(doc_id, ids)
                     rows.append((doc_id or 0, at, len(ids)))
                     out.write(data)
@@ -245,7 +262,8 @@ def read_records(manifest: DataFrame, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of all records, read from the files.
 
     ``start`` counts the ids of all records before; the only global step is a
-    running sum over the manifest's rows, one a file.
+    running sum over the manifest's rows, one a file.  Each file is held against
+    its index, and a difference raises.
     """
     parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
@@ -258,15 +276,20 @@ def read_records(manifest: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for name, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows, size = [], 0
+                index = read_index(fs, f"{root}/{name}")
                 with fs.open_input_stream(f"{root}/{name}") as f:
-                    for _, data in unframe(f.read):
+                    for k, (at, data) in enumerate(unframe(f.read)):
                         doc_id, ids = unpack(data)
+                        if k >= len(index) or (doc_id or 0, at, len(ids)) != index[k].item():
+                            raise ValueError(f"record {k} of {name} is not where the index says")
                         rows.append((doc_id, base, len(ids), ids.tobytes()))
                         base += len(ids)
                         size += ids.nbytes
                         if size > 8 << 20:
                             yield _records(rows)
                             rows, size = [], 0
+                if k + 1 != len(index):
+                    raise ValueError(f"{len(index)} records in the index of {name}, {k + 1} in the file")
                 if rows:
                     yield _records(rows)
 
@@ -278,13 +301,18 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "n_tokens", "ids"])
 
 
+def read_index(fs, path: str) -> np.ndarray:
+    """The index rows of a file of records."""
+    with fs.open_input_stream(f"{path.removesuffix('.rec')}.idx") as f:
+        return np.frombuffer(f.read(), dtype=INDEX)
+
+
 def read_at(path: str, name: str, rows: list[int]) -> list[tuple[int | None, np.ndarray]]:
     """Records of one file in any order, by way of its index."""
     from pyarrow.fs import FileSystem
 
     fs, root = FileSystem.from_uri(path)
-    with fs.open_input_stream(f"{root}/{name.removesuffix('.rec')}.idx") as f:
-        index = np.frombuffer(f.read(), dtype=INDEX)
+    index = read_index(fs, f"{root}/{name}")
     out = []
     with fs.open_input_file(f"{root}/{name}") as f:
         for k in rows:
@@ -293,9 +321,15 @@ def read_at(path: str, name: str, rows: list[int]) -> list[tuple[int | None, np.
     return out
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A URI for pyarrow of a path that may name no file system; it then lies in the cluster's default one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toUri()
+    return f"file://{uri.getPath()}" if uri.getScheme() == "file" else uri.toString()
+
+
 def record_table(docs: DataFrame, encoder_path: str, end: int = 2) -> DataFrame:
     """Writes the records to the scratch folder, reads them back and sums them up for each document."""
-    path = folder(docs.sparkSession, "records")
-    path = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    path = qualified(docs.sparkSession, folder(docs.sparkSession, "records"))
     manifest = write_records(docs, path, encoder_path, end)
     return read_records(manifest, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -307,7 +307,6 @@ def test_records_round_trip(spark, docs, rows, tmp_path):
 
     path = vocabulary("byte_bpe_50k.json")
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     manifest = token_output.write_records(docs, f"file://{tmp_path}/r", path)
     got = {r["doc_id"]: r for r in table(token_output.read_records(manifest, f"file://{tmp_path}/r"))}
     at = 0
@@ -331,7 +330,27 @@ def test_chunks_encode_as_whole_texts():
     parts = [" ", "  ", "\n", "\t", "a", "I'll", "'s", "12", "½", "é", "Ünï", "漢字", "!?", "\x1c", "\x85", "\xa0", "\u200b", "<|endoftext|>", "ﬁ", "😀", "_", "ab cd", "\r\n", "x1"]
     texts = ["".join(rng.choice(parts, int(rng.integers(0, 14)))) for _ in range(3000)]
     want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [np.frombuffer(b, np.uint32).tolist() for b in e.encode(texts)] == want
+    assert encoded(e, texts) == want
+    assert encoded(e, texts[::-1]) == want[::-1]
+
+
+def test_a_full_table_is_emptied_and_other_tokenizers_go_through_the_library(monkeypatch):
+    from evidentia.llm.queries import vocabulary
+
+    monkeypatch.setattr(token_output, "REMEMBERED", 3)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        e = token_output.Encoder(vocabulary(name))
+        texts = ["one two three four five", "", "Five four two  one", "one two Three\n four"]
+        for _ in range(2):
+            assert encoded(e, texts) == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not e.byte_level
+
+
+def encoded(e, texts):
+    import pyarrow as pa
+
+    ids, off = e.encode(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])]
 
 
 def test_added_tokens_encode_as_the_library_does():
@@ -344,7 +363,7 @@ def test_added_tokens_encode_as_the_library_does():
     texts = ["a <|endoftext|> b", "<|endoftext|>", "two words<|endoftext|>\n <|endoftext|> x", "<|endoftext| >", "plain text", ""]
     want = [model.encode(t, add_special_tokens=False).ids for t in texts]
     assert 50256 in want[0]
-    assert [np.frombuffer(b, np.uint32).tolist() for b in token_output.Encoder(path).encode(texts)] == want
+    assert encoded(token_output.Encoder(path), texts) == want
 
 
 def test_damage_is_noticed():
