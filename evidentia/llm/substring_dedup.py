@@ -1,21 +1,28 @@
 """Removal of repeated passages by prefix-partitioned suffix trees.
 
-A repeat is a run of ``window`` words that also starts earlier in the corpus.
-Two suffixes with a common path of that depth agree on every short prefix that
-starts inside it, in particular on the least-hashed one, so the suffixes are
-split into groups by that prefix: only a suffix's anchors (about one word in
-eight) have to be counted, and a prefix that occurs once has no internal node
-below it and drops out before its suffixes are built.  Prefixes vary in length: a
-group above ``group_size`` suffixes is split by the whole window instead of the
-short prefix, which bounds what one subtree holds.
-
-Inside a group the suffixes are sorted by path fingerprint and place, that is,
-as the leaves of the group's subtree cut at depth ``window``; leaves under a
-common node of that depth are a repeat, and all but the first of them start a
-window to remove.  Runs of such windows are the maximal repeated spans.
-
-Texts are shuffled once (the exchange is shared by all steps); a group is read
-as a sorted stream whose state is the distinct paths of one group.
+A repeat is a window of ``window`` words that also starts earlier in the corpus.
+Equal windows agree on the least-hashed run of ``prefix`` words inside them, so it
+is enough to build the trees of the suffixes that start at such anchors (about
+one word in eight): a window is then what lies ``d`` words to the left and
+``window - d`` words to the right of an anchor.  Suffixes are split into groups
+by their prefix.  A prefix that occurs once has no internal node below it and
+drops out before its suffixes are made.
+
+Inside a group the tree of the suffixes, and that of the reversed words before
+the anchors, are grown from the root word by word; a node that holds one leaf is
+not grown further.  A node of depth ``window - d`` of the one and a node of depth
+``d`` of the other name a passage of ``window`` words, and of the suffixes below
+both all but the first repeat it.  Runs of such windows are the maximal repeats.
+Words are compared by their 64-bit hashes, each word by itself.
+
+Scale: documents are dealt to blocks by a hash of their id and text, and a block
+counts each prefix once, so the counts of a prefix that stands in a third of all
+documents are one row a block.  The texts are shuffled once; all steps read that
+exchange.  A prefix above ``group_size`` suffixes is dealt to subgroups by a hash
+of the place; what is new in its subgroup is then compared under the prefix
+grown to the whole window, of which every subgroup has one suffix at most.  So no
+task holds more than a block of documents, ``group_size`` suffixes or one suffix
+from each subgroup, however many copies there are.
 """
 
 from __future__ import annotations
@@ -25,37 +32,44 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import store
 from .wordhash import Words, blocks, hash_words, mix, windows
 
 
 @dataclass(frozen=True)
 class Repeat:
-    """``window`` words make a repeat; ``prefix`` words name a group of suffixes."""
+    """``window`` words make a repeat; ``prefix`` words name a group of suffixes, of ``group_size`` at most.
+
+    ``blocks`` is the number of blocks of documents in a shuffle partition.
+    """
 
     window: int = 20
     prefix: int = 5
-    group_size: int = 1_000_000
+    group_size: int = 20_000
+    blocks: int = 8
 
 
 _NO_ID = -(1 << 63)
+#: Suffixes whose trees are grown at a time, if no group has more.
+TOGETHER = 100_000
 
 
 @dataclass
 class Anchors:
-    """Anchor prefixes of a block and the run of windows that each one stands for."""
+    """Anchors of texts and the run of windows that each one stands for."""
 
     doc: np.ndarray
     key: np.ndarray
     first: np.ndarray  # word position, in its document, of the first window
+    left: np.ndarray  # words from there to the anchor
     count: np.ndarray  # windows of the run
-    at: np.ndarray  # index of the first window in ``path``
-    path: np.ndarray | None  # fingerprints of all windows
 
 
-def anchors(w: Words, p: Repeat, paths: bool) -> Anchors:
+def anchors(w: Words, p: Repeat) -> Anchors:
     """For each window the leftmost least-hashed prefix inside it; equal windows agree on it."""
     g, goff = windows(w, p.prefix, seed=21)
     span = p.window - p.prefix + 1
@@ -65,7 +79,7 @@ def anchors(w: Words, p: Repeat, paths: bool) -> Anchors:
     doc = np.repeat(np.arange(len(room)), room)
     if n == 0:
         none = np.zeros(0, np.int64)
-        return Anchors(none, none.astype(np.uint64), none, none, none, np.zeros(0, np.uint64))
+        return Anchors(none, none.astype(np.uint64), none, none, none)
     start = np.arange(n) - off[doc] + goff[doc]  # of each window, in g
     least = g[start].copy()
     where = np.zeros(n, dtype=np.int64)
@@ -78,135 +92,241 @@ def anchors(w: Words, p: Repeat, paths: bool) -> Anchors:
     new = np.ones(n, dtype=bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
-    path = windows(w, p.window, seed=22)[0] if paths else None
-    return Anchors(doc[at], least[at], (start[at] - goff[doc[at]]), np.diff(np.append(at, n)), at, path)
+    return Anchors(doc[at], least[at], start[at] - goff[doc[at]], where[at], np.diff(np.append(at, n)))
+
+
+def _block(table: pa.Table) -> pa.RecordBatch:
+    """The rows (id, text) of a block in their order: by id, then text, so that a place in it is always the same."""
+    table = table.select(["id", "text"]).combine_chunks()
+    ids = table.column("id").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    tied = np.flatnonzero(np.diff(ids[order]) == 0)
+    if len(tied):
+        texts = table.column("text").take(pa.array(order)).to_pylist()
+        order = order[sorted(range(len(order)), key=lambda k: (ids[order[k]], texts[k]))]
+    table = table.take(pa.array(order)).combine_chunks()
+    return table.to_batches()[0] if table.num_rows else pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.string())], names=["id", "text"])
+
+
+def _parts(block: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices of a block that are worked on at a time, with the place of their first row."""
+    at = 0
+    for part in blocks(block, "text"):
+        yield at, part
+        at += part.num_rows
 
 
 def _prefixes(p: Repeat):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks(batch, "text"):
-                a = anchors(hash_words(part.column(2)), p, paths=False)
-                order = np.lexsort((a.key, a.doc))
-                doc, key = a.doc[order], a.key[order]
-                new = np.ones(len(doc), dtype=bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
-                at = np.flatnonzero(new)
-                total = np.add.reduceat(a.count[order], at) if len(at) else at
-                runs = np.diff(np.append(at, len(doc)))
-                rows = pa.array(doc[at])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[at].view(np.int64)), part.column(0).take(rows), part.column(1).take(rows), pa.array(runs.astype(np.int32)), pa.array(total.astype(np.int32))],
-                    names=["key", "id", "r", "runs", "suffixes"],
-                )
+    """How often each prefix starts a suffix in a block."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        found = [anchors(hash_words(part.column("text")), p).key for _, part in _parts(_block(table))]
+        keys, runs = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+        return pa.table({"b": pa.array(np.full(len(keys), key[0].as_py(), np.int32)), "key": pa.array(keys.view(np.int64)), "runs": pa.array(runs.astype(np.int32))})
 
     return run
 
 
+_SUFFIXES = "grp long, salt int, split boolean, id long, b int, k int, start int, left int, n int, words binary"
+
+
 def _suffixes(p: Repeat):
-    """Suffix runs below prefixes that repeat: (grp, id, r, start, paths)."""
+    """Suffixes below the prefixes that repeat, with the words around them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks(batch, "text"):
-                a = anchors(hash_words(part.column(2)), p, paths=True)
-                keys, large = (part.column(k).combine_chunks() if isinstance(part.column(k), pa.ChunkedArray) else part.column(k) for k in (3, 4))
-                size = np.diff(keys.offsets.to_numpy())
-                lo, hi = keys.offsets[0].as_py(), keys.offsets[-1].as_py()
-                named = keys.values.to_numpy(zero_copy_only=False)[lo:hi].view(np.uint64)
-                whole = large.values.to_numpy(zero_copy_only=False)[large.offsets[0].as_py() : large.offsets[-1].as_py()].astype(bool)
-                salt = mix(np.arange(part.num_rows, dtype=np.uint64) + np.uint64(1))
-                named = named ^ np.repeat(salt, size)
-                order = np.argsort(named)
-                named, whole = named[order], whole[order]
-                mine = a.key ^ salt[a.doc]
-                k = np.minimum(np.searchsorted(named, mine), max(len(named) - 1, 0))
-                hit = named[k] == mine if len(named) else np.zeros(len(mine), dtype=bool)
-                got = np.flatnonzero(hit)
-                split = whole[k[got]] if len(got) else np.zeros(0, dtype=bool)
-                # a long prefix: one row a suffix, in the group of its whole window
-                few, many = got[~split], got[split]
-                each = np.repeat(many, a.count[many])
-                step = np.arange(len(each)) - np.repeat(np.cumsum(a.count[many]) - a.count[many], a.count[many])
-                lone = a.path[a.at[each] + step]
-                raw = a.path.tobytes()
-                sent = [raw[8 * x : 8 * (x + c)] for x, c in zip(a.at[few].tolist(), a.count[few].tolist(), strict=True)] + [x.tobytes() for x in lone]
-                doc = pa.array(np.concatenate([a.doc[few], a.doc[each]]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([a.key[few], mix(lone)]).view(np.int64)),
-                        part.column(0).take(doc),
-                        part.column(1).take(doc),
-                        pa.array(np.concatenate([a.first[few], a.first[each] + step]).astype(np.int32)),
-                        pa.array(sent, pa.binary()),
-                    ],
-                    names=["grp", "id", "r", "start", "paths"],
-                )
+    A row stands for the ``n`` windows of an anchor, the first of which starts at word ``start`` and
+    ``left`` words before the anchor.
+    """
+
+    def run(key: tuple, texts: pa.Table, keys: pa.Table) -> pa.Table:
+        out = []
+        named = keys.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(named)
+        named, total = named[order], keys.column("n").to_numpy()[order]
+        block = _block(texts)
+        for at, part in _parts(block):
+            w = hash_words(part.column("text"))
+            a = anchors(w, p)
+            place = np.minimum(np.searchsorted(named, a.key), max(len(named) - 1, 0))
+            got = np.flatnonzero(named[place] == a.key) if len(named) else np.zeros(0, np.int64)
+            if not len(got):
+                continue
+            doc, first, count = a.doc[got], a.first[got], a.count[got]
+            size = count + p.window - 1
+            off = np.concatenate([[0], np.cumsum(size)])
+            words = w.hash[np.arange(off[-1]) + np.repeat(w.off[doc] + first - off[:-1], size)]
+            n = total[place[got]]
+            groups = -(-n // p.group_size)
+            k = at + doc
+            salt = mix(k.astype(np.uint64) * np.uint64(1 << 20) + first.astype(np.uint64) + np.uint64(key[0].as_py() << 40)) % groups.astype(np.uint64)
+            binary = pa.Array.from_buffers(pa.binary(), len(got), [None, pa.py_buffer((8 * off).astype(np.int32)), pa.py_buffer(words)])
+            columns = [a.key[got].view(np.int64), salt.astype(np.int32), groups > 1, block.column("id").to_numpy()[k], np.full(len(got), key[0].as_py(), np.int32), k.astype(np.int32), first.astype(np.int32), a.left[got].astype(np.int32), count.astype(np.int32)]
+            out.append(pa.Table.from_arrays([*map(pa.array, columns), binary], names=_SUFFIX_NAMES))
+        return pa.concat_tables(out) if out else _NO_SUFFIXES
 
     return run
 
 
-def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of suffix runs sorted by group and place: which windows start earlier as well, as bits."""
-    last, seen = None, np.zeros(0, np.uint64)
+_SUFFIX_NAMES = [c.split()[0] for c in _SUFFIXES.split(", ")]
+_NO_SUFFIXES = pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())], names=_SUFFIX_NAMES)
+
+
+def grown(root: np.ndarray, words: np.ndarray, first: np.ndarray, step: int, length: np.ndarray, depth: int) -> np.ndarray:
+    """Nodes (n, depth + 1) of the tree of sequences below their roots, -1 where a sequence ended or is alone.
+
+    Sequence ``i`` is made of the words ``first[i]``, ``first[i] + step`` ..., ``length[i]`` of them.  Sequences are
+    below one node of a depth if they have one root and agree in as many words.
+    """
+    out = np.full((len(root), depth + 1), -1, dtype=np.int64)
+    size = np.bincount(root)
+    live = np.flatnonzero(size[root] > 1)
+    node = root[live]
+    out[live, 0] = node
+    for d in range(1, depth + 1):
+        more = length[live] >= d
+        live, node = live[more], node[more]
+        word = words[first[live] + step * (d - 1)]
+        order = np.lexsort((word, node))
+        live, node, word = live[order], node[order], word[order]
+        new = np.ones(len(live), dtype=bool)
+        new[1:] = (node[1:] != node[:-1]) | (word[1:] != word[:-1])
+        node = np.cumsum(new) - 1
+        several = np.bincount(node)[node] > 1 if len(node) else new
+        live, node = live[several], node[several]
+        out[live, d] = node
+    return out
+
+
+def repeated(group: np.ndarray, words: np.ndarray, off: np.ndarray, left: np.ndarray, count: np.ndarray, p: Repeat) -> np.ndarray:
+    """Of all windows of suffixes, in turn, which repeat one of an earlier row of their group.
+
+    ``words[off[i]:off[i + 1]]`` are the words around suffix ``i``, which starts at its ``left[i]``-th word.
+    """
+    ends = np.cumsum(count)
+    again = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=bool)
+    anchor = off[:-1] + left
+    after = grown(group, words, anchor, 1, off[1:] - anchor, p.window)
+    before = grown(group, words, anchor - 1, -1, left, p.window - p.prefix)
+    for d in range(p.window - p.prefix + 1):
+        x, y = after[:, p.window - d], before[:, d]
+        rows = np.flatnonzero((x >= 0) & (y >= 0) & (left >= d) & (left - d < count))
+        order = np.lexsort((y[rows], x[rows]))  # stable: earlier rows first
+        r = rows[order]
+        same = (x[r][1:] == x[r][:-1]) & (y[r][1:] == y[r][:-1])
+        late = r[1:][same]
+        again[ends[late] - count[late] + left[late] - d] = True
+    return again
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of whole groups (rows with equal leading columns) of a sorted stream."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        grp = batch.column(0).to_numpy()
-        paths = batch.column(4)
-        off = np.frombuffer(paths.buffers()[1], np.int32)[paths.offset : paths.offset + len(paths) + 1]
-        raw = np.frombuffer(paths.buffers()[2], np.uint8)[off[0] : off[-1]]
-        path = np.frombuffer(raw.tobytes(), np.uint64)
-        size = np.diff(off) // 8
-        row = np.repeat(np.arange(len(size)), size)
-        new = np.concatenate([[True], grp[1:] != grp[:-1]])
-        rank = np.cumsum(new) - 1
-        order = np.lexsort((path, rank[row]))  # stable: place decides
-        sp, sr = path[order], rank[row][order]
-        again = np.zeros(len(path), dtype=bool)
-        again[order[1:]] = (sp[1:] == sp[:-1]) & (sr[1:] == sr[:-1])
-        if last is not None and grp[0] == last:
-            head = rank[row] == 0
-            again[head] |= np.isin(path[head], seen)
-        tail = np.unique(path[rank[row] == rank[-1]])
-        seen = np.union1d(seen, tail) if last is not None and grp[-1] == last else tail
-        last = grp[-1]
-        some = np.flatnonzero(np.bincount(row[again], minlength=len(size)))
-        ends = np.cumsum(size)
-        bits = [np.packbits(again[ends[i] - size[i] : ends[i]]).tobytes() for i in some.tolist()]
-        at = pa.array(some)
-        yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), batch.column(3).take(at), pa.array(size[some].astype(np.int32)), pa.array(bits, pa.binary())], names=["id", "r", "start", "n", "bits"])
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < TOGETHER:
+            continue
+        table = pa.Table.from_batches(held)
+        last = np.ones(rows, dtype=bool)
+        for k in range(keys):
+            c = table.column(k).to_numpy()
+            last &= c == c[-1]
+        cut = rows - int(last.sum())
+        if cut:
+            yield table.slice(0, cut)
+            held = table.slice(cut).to_batches()
+            rows -= cut
+    if rows:
+        yield pa.Table.from_batches(held)
 
 
-def _cut(p: Repeat):
-    """Removes what the windows cover."""
+_FOUND = "b int, k int, start int, n int, bits binary, grp long, id long, words binary"
+_FOUND_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
+
+
+def _grow(p: Repeat):
+    """Repeats of each group, as bits of the windows of a suffix; of a split group also the windows that are new, one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks(batch, "text"):
-                ids = part.column(0).to_pylist()
-                counts, removed, kept, spans = [], [], [], []
-                for text, hits in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    words = (text or "").encode().split()
-                    n = len(words)
-                    out: list[int] = []
-                    if hits:
-                        edge = np.zeros(n + 1, dtype=np.int32)
-                        for h in hits:
-                            starts = h["start"] + np.flatnonzero(np.unpackbits(np.frombuffer(h["bits"], np.uint8), count=h["n"]))
-                            np.add.at(edge, starts, 1)
-                            np.add.at(edge, starts + p.window, -1)
-                        gone = np.cumsum(edge[:-1]) > 0
-                        out = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).tolist()
-                        words = [x for x, g in zip(words, gone.tolist(), strict=True) if not g]
-                    counts.append(n)
-                    removed.append(n - len(words))
-                    kept.append(b" ".join(words))
-                    spans.append(out)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([None if i == _NO_ID else i for i in ids], pa.int64()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(pa.int32()))],
-                    names=["doc_id", "n_words", "n_removed", "kept", "spans"],
-                )
+        for table in _whole_groups(batches, 2):
+            table = table.combine_chunks()
+            col = {n: table.column(n).chunk(0) for n in _SUFFIX_NAMES}
+            grp, salt, left, count = (col[n].to_numpy() for n in ("grp", "salt", "left", "n"))
+            off = np.frombuffer(col["words"].buffers()[1], np.int32)[col["words"].offset : col["words"].offset + len(grp) + 1].astype(np.int64)
+            words = np.frombuffer(col["words"].buffers()[2], np.uint8)[off[0] : off[-1]].copy().view(np.uint64)
+            off = (off - off[0]) // 8
+            new = np.ones(len(grp), dtype=bool)
+            new[1:] = (grp[1:] != grp[:-1]) | (salt[1:] != salt[:-1])
+            left, count = left.astype(np.int64), count.astype(np.int64)
+            again = repeated(np.cumsum(new) - 1, words, off, left, count, p)
+            ends = np.cumsum(count)
+            row = np.repeat(np.arange(len(grp)), count)
+            some = np.flatnonzero(np.bincount(row[again], minlength=len(grp)))
+            bits = [np.packbits(again[ends[i] - count[i] : ends[i]]).tobytes() for i in some.tolist()]
+            at = pa.array(some)
+            none = [pa.nulls(len(some), t) for t in (pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(col[n].take(at) for n in ("b", "k", "start", "n")), pa.array(bits, pa.binary()), *none], names=_FOUND_NAMES)
+            fresh = np.flatnonzero(~again & col["split"].to_numpy(zero_copy_only=False)[row])
+            for a in range(0, len(fresh), TOGETHER):
+                f = fresh[a : a + TOGETHER]
+                r = row[f]
+                shift = f - (ends[r] - count[r])
+                own = words[(off[r] + shift)[:, None] + np.arange(p.window)]
+                name = mix((own * _POWERS[: p.window]).sum(axis=1, dtype=np.uint64)).view(np.int64)
+                at = pa.array(r)
+                start = pa.array((col["start"].to_numpy()[r] + shift).astype(np.int32))
+                binary = pa.array([x.tobytes() for x in own], pa.binary())
+                yield pa.RecordBatch.from_arrays([col["b"].take(at), col["k"].take(at), start, pa.array(np.ones(len(r), np.int32)), pa.nulls(len(r), pa.binary()), pa.array(name), col["id"].take(at), binary], names=_FOUND_NAMES)
+
+    return run
+
+
+_POWERS = mix(np.arange(1, 1025, dtype=np.uint64)) | np.uint64(1)
+
+
+def _late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of windows (grp, words, ...) sorted by these and their place all but the first of each passage."""
+    last = None
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        late = np.array([x == y for x, y in zip(names, [last, *names[:-1]], strict=True)])
+        last = names[-1]
+        at = pa.array(np.flatnonzero(late))
+        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in (2, 3, 4, 5)), pa.array([b"\x80"] * len(at), pa.binary())], names=_FOUND_NAMES[:5])
+
+
+def _cut(p: Repeat):
+    """Removes what the repeated windows of a block's documents cover."""
+
+    def run(key: tuple, texts: pa.Table, hits: pa.Table) -> pa.Table:
+        found: dict[int, list] = {}
+        for k, start, n, bits in zip(*(hits.column(c).to_pylist() for c in ("k", "start", "n", "bits")), strict=True):
+            found.setdefault(k, []).append((start, n, bits))
+        block = _block(texts)
+        counts, removed, kept, spans = [], [], [], []
+        for k, text in enumerate(block.column("text").to_pylist()):
+            words = text.encode().split()
+            n = len(words)
+            out: list[int] = []
+            if k in found:
+                edge = np.zeros(n + 1, dtype=np.int32)
+                for start, many, bits in found[k]:
+                    starts = start + np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=many))
+                    np.add.at(edge, starts, 1)
+                    np.add.at(edge, starts + p.window, -1)
+                gone = np.cumsum(edge[:-1]) > 0
+                out = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).tolist()
+                words = [x for x, g in zip(words, gone.tolist(), strict=True) if not g]
+            counts.append(n)
+            removed.append(n - len(words))
+            kept.append(b" ".join(words))
+            spans.append(out)
+        ids = pc.if_else(pc.equal(block.column("id"), _NO_ID), None, block.column("id"))
+        return pa.Table.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, pa.list_(pa.int32()))], names=["doc_id", "n_words", "n_removed", "kept", "spans"])
 
     return run
 
@@ -219,25 +339,22 @@ def remove_repeats(docs: DataFrame, p: Repeat = Repeat()) -> DataFrame:
     A window is removed if the same words start earlier: under a smaller doc_id,
     or earlier in the same document.  All windows are judged on the input.  A null
     text has no words; a null doc_id stands before all others; rows that share a
-    doc_id are ordered by their text; other columns are ignored; an empty table
-    gives an empty result.
+    doc_id, and those without one, are ordered by a hash of their text, equal rows
+    follow each other; other columns are ignored; an empty table gives an empty
+    result.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).repartition(parts, "id")
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.length("text"), "text"))).select("id", "r", "text")
-    counted = rows.mapInArrow(_prefixes(p), "key long, id long, r int, runs int, suffixes int").repartition(parts, "key")
-    same = Window.partitionBy("key")
-    counted = counted.withColumn("n", F.sum("runs").over(same)).withColumn("m", F.sum("suffixes").over(same)).where("n > 1")
-    # joined on id alone, so that the texts stay where their one shuffle put them
-    shared = counted.groupBy("id").agg(F.collect_list(F.struct("r", "key", (F.col("m") > p.group_size).cast("byte").alias("large"))).alias("x"))
-    given = rows.join(shared.hint("merge"), "id").withColumn("x", F.filter("x", lambda e: e["r"] == F.col("r")))
-    suffixes = given.select("id", "r", "text", F.col("x.key").alias("keys"), F.col("x.large").alias("large")).mapInArrow(_suffixes(p), "grp long, id long, r int, start int, paths binary")
-    suffixes = suffixes.repartition(parts, "grp").sortWithinPartitions("grp", "id", "r", "start")
-    later = suffixes.mapInArrow(_later, "id long, r int, start int, n int, bits binary")
-    hits = later.groupBy("id").agg(F.collect_list(F.struct("r", "start", "n", "bits")).alias("hits"))
-    given = rows.join(hits.hint("merge"), "id", "left").withColumn("hits", F.filter("hits", lambda e: e["r"] == F.col("r")))
-    return given.select("id", "r", "text", "hits").mapInArrow(_cut(p), "doc_id long, n_words long, n_removed long, kept string, spans array<int>")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("id", "text"), F.lit(parts * p.blocks)).cast("int")).repartition(parts, "b")
+    counted = rows.groupBy("b").applyInArrow(_prefixes(p), "b int, key long, runs int").repartition(parts, "key")
+    counted = counted.withColumn("n", F.sum("runs").over(Window.partitionBy("key"))).where("n > 1").select("b", "key", "n")
+    suffixes = rows.groupBy("b").cogroup(counted.groupBy("b")).applyInArrow(_suffixes(p), _SUFFIXES)
+    suffixes = suffixes.repartition(parts, "grp", "salt").sortWithinPartitions("grp", "salt", "id", "b", "k", "start")
+    found = store(suffixes.mapInArrow(_grow(p), _FOUND), "repeats")
+    fresh = found.where("grp is not null").select("grp", "words", "b", "k", "start", "n", "id").repartition(parts, "grp")
+    late = fresh.sortWithinPartitions("grp", "words", "id", "b", "k", "start").mapInArrow(_late, "b int, k int, start int, n int, bits binary")
+    hits = found.where("grp is null").select("b", "k", "start", "n", "bits").union(late)
+    return rows.groupBy("b").cogroup(hits.groupBy("b")).applyInArrow(_cut(p), "doc_id long, n_words long, n_removed long, kept string, spans array<int>")
 
 
 def repeat_table(docs: DataFrame, p: Repeat = Repeat()) -> DataFrame:
