@@ -43,6 +43,8 @@ FILE_BYTES = 64 << 20
 REMEMBERED = 600_000
 #: New words that the library encodes at a time.
 TOGETHER = 20_000
+#: Stands in the table for a word that cannot be encoded by itself; no ids have its length.
+ODD = b"?"
 #: A space as byte-level vocabularies write it.
 SPACE = "\u0120"
 #: Text that is encoded at a time; a longer text is one block.
@@ -113,34 +115,37 @@ class Encoder:
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(SPACE) for i in range(self.tokenizer.get_vocab_size() + 1)])
         solid = r"[^\s\x1c-\x1f\x85\u180e\u200b\ufeff]"  # no white space by anyone's definition
         self.solid = re.compile(f"{solid}(?:.*{solid})?", re.DOTALL).fullmatch
-        self.known: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Adds the ids of words behind a space to the table, or None where white space touches the spaces around one.
+    def learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words behind a space that are not in the table, which gets them; ``ODD`` where white space touches the spaces around one.
 
         The library encodes new words as one text; each word's first token is the only one that opens with a space.
         """
-        older, new = self.older, []
-        for w in words:
-            if w in older:
-                self.known[w] = older[w]
-            elif self.solid(w):
-                new.append(w)
-            else:
-                self.known[w] = None
+        found = list(map(self.older.get, words))
+        new = [k for k, f in enumerate(found) if f is None]
+        for k in new:
+            if not self.solid(words[k]):
+                found[k] = ODD
+        new = [k for k in new if found[k] is None]
         for a in range(0, len(new), TOGETHER):
             part = new[a : a + TOGETHER]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            text = " " + " ".join([words[k] for k in part])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
             at = np.flatnonzero(self.opens[ids])
             if len(at) == len(part):
                 raw, ends = ids.tobytes(), (4 * np.append(at, len(ids))).tolist()
-                self.known.update(zip(part, [raw[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], strict=True))
+                for k, x, y in zip(part, ends[:-1], ends[1:], strict=True):
+                    found[k] = raw[x:y]
             else:  # a vocabulary with spaces inside tokens
-                self.known.update((w, self.whole(" " + w)) for w in part)
+                for k in part:
+                    found[k] = self.whole(" " + words[k])
+        self.known.update(zip(words, found, strict=True))
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, and the offsets of each text; a null is empty."""
@@ -158,20 +163,22 @@ class Encoder:
         first = off[:-1] - off[0]  # what stands before the first space has none before it
         code = coded.indices.to_numpy().copy()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self.learn([w for w in words if w not in self.known])
-        ids = [self.known[w] for w in words]
-        touched = np.array([i is None for i in ids])
-        code[first] = n = len(ids)  # an empty entry
-        ids.append(b"")
-        whole |= np.add.reduceat(np.append(touched, False)[code], first) > 0
+        ids = list(map(self.known.get, words))
+        new = [k for k, i in enumerate(ids) if i is None]
+        for k, i in zip(new, self.learn([words[k] for k in new]), strict=True):
+            ids[k] = i
+        n = len(ids)
         texts = texts.to_pylist()
         heads = [t.split(" ", 1)[0] for t in texts]
         whole |= [h != "" and not self.solid(h[-1]) for h in heads]
+        table = pa.array(ids, pa.large_binary())
+        odd = np.diff(np.frombuffer(table.buffers()[1], np.int64)[: n + 1]) == len(ODD)
+        code[first] = n  # an empty entry
+        whole |= np.add.reduceat(np.append(odd, False)[code], first) > 0
         code[np.repeat(whole, np.diff(off))] = n
-        for k, (text, head) in enumerate(zip(texts, heads, strict=True)):
-            code[first[k]] = len(ids)
-            ids.append(self.whole(text if whole[k] else head))
-        joined = pa.array(ids, pa.large_binary()).take(pa.array(code))
+        code[first] = np.arange(n + 1, n + 1 + len(texts))
+        rest = [b"", *[self.whole(text if w else head) for text, head, w in zip(texts, heads, whole.tolist(), strict=True)]]
+        joined = pa.concat_arrays([table, pa.array(rest, pa.large_binary())]).take(pa.array(code))
         ends = np.frombuffer(joined.buffers()[1], np.int64)[: len(code) + 1] // 4
         return np.frombuffer(joined.buffers()[2], np.uint32)[: ends[-1]], ends[np.append(first, len(code))]
 
