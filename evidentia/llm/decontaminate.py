@@ -8,8 +8,11 @@ value of the document and the other way round.  So a question whose numbers or
 names were exchanged is caught, while prose that merely shares a common frame is
 not.
 
-Scale: the benchmark's windows go to the tasks in blocks of a checked size, and
-the corpus is read once for each block; documents are never shuffled.
+Scale: windows of the documents and of the benchmark meet in a hash join.  A
+Bloom filter of fixed size (``filter_bits``) over the benchmark's windows goes to
+the tasks, so of the documents, which are read once, only those that may share a
+window go on, with the hashes that passed; neither the benchmark nor anything that
+grows with the corpus is gathered.  What the join names is compared word by word.
 """
 
 from __future__ import annotations
@@ -20,9 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import store
 from .wordhash import Words, blocks, constants, hash_spans, hash_words, mix, windows
 
 # Unit words (lower case).
@@ -61,7 +65,7 @@ class Template:
     literal: int = 5
     cover: int = 13
     flank: int = 4
-    max_block: int = 4 << 20  # bytes of benchmark text sent to the tasks at a time
+    filter_bits: int = 1 << 23  # of the filter of benchmark windows
 
 
 def canonical(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -111,9 +115,8 @@ def _unit_hashes() -> np.ndarray:
 
 @dataclass
 class Index:
-    """Windows of a block of benchmark items, sorted by hash."""
+    """Windows of some benchmark items, sorted by hash."""
 
-    items: list[int | None]
     size: np.ndarray  # template words of each item
     off: np.ndarray
     template: np.ndarray
@@ -121,7 +124,11 @@ class Index:
     hash: np.ndarray  # of windows, ascending
     item: np.ndarray  # row of items
     pos: np.ndarray
-    whole: dict[int, dict[int, list[int]]]  # k: {hash of the first k words, 8 at most: rows of items}, where windows cannot make a leak
+    whole: list[int]  # rows of items whose windows cannot make a leak
+
+
+#: An item that must match as a whole is looked up by so many of its first words, or all if it has fewer.
+HEAD = 8
 
 
 def _window_hashes(w: Words, slot: np.ndarray, p: Template) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,20 +142,65 @@ def _window_hashes(w: Words, slot: np.ndarray, p: Template) -> tuple[np.ndarray,
     return h[good], row[good], pos[good]
 
 
-def build_index(items: list[int], texts: list[str | None], p: Template) -> Index:
+def _heads(w: Words, surface: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``k`` surface words, and their offsets a text."""
+    h, off = windows(Words(w.data, w.text_off, w.start, w.end, surface, w.off), k, seed=12)
+    return mix(h + np.uint64(k)), off
+
+
+def build_index(texts: list[str | None], p: Template) -> Index:
     w, surface, slot = canonical(pa.array(texts, pa.string()))
     h, row, pos = _window_hashes(w, slot, p)
     order = np.argsort(h, kind="stable")
     places: dict[int, set[int]] = defaultdict(set)
     for i, s in zip(row.tolist(), pos.tolist(), strict=True):
         places[i].update(range(s, s + p.words))
-    whole: dict[int, dict[int, list[int]]] = {}
-    for i, n in enumerate(w.count.tolist()):
-        if n and len(places[i]) < min(p.cover, n):
-            one = Words(w.data, w.text_off, w.start, w.end, surface[w.off[i] : w.off[i + 1]], np.array([0, n]))
-            k = min(n, 8)
-            whole.setdefault(k, {}).setdefault(int(windows(one, k, seed=12)[0][0]), []).append(i)
-    return Index(items, w.count, w.off, w.hash, surface, h[order], row[order], pos[order], whole)
+    whole = [i for i, n in enumerate(w.count.tolist()) if n and len(places[i]) < min(p.cover, n)]
+    return Index(w.count, w.off, w.hash, surface, h[order], row[order], pos[order], whole)
+
+
+def _keys_of_items(p: Template):
+    """(h, k, item): the hashes by which each item is found; ``k`` is 0 for template windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, "text"):
+                index = build_index(part.column(1).to_pylist(), p)
+                h, k, item = [index.hash], [np.zeros(len(index.hash), np.int32)], [index.item]
+                w, surface, _ = canonical(part.column(1))
+                for n in {min(int(index.size[i]), HEAD) for i in index.whole}:
+                    heads, off = _heads(w, surface, n)
+                    rows = np.array([i for i in index.whole if min(int(index.size[i]), HEAD) == n])
+                    h.append(heads[off[rows]])
+                    k.append(np.full(len(rows), n, np.int32))
+                    item.append(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(k)), part.column(0).take(pa.array(np.concatenate(item)))], names=["h", "k", "item"])
+
+    return run
+
+
+def _bits(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Three places of each hash in a filter."""
+    return [(h >> np.uint64(s)) % np.uint64(bits) for s in (0, 20, 40)]
+
+
+def _may(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
+    out = np.ones(len(h), dtype=bool)
+    for b in _bits(h, 64 * len(filter_)):
+        out &= (filter_[(b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out
+
+
+def _filter(keys: DataFrame, p: Template) -> np.ndarray:
+    """The Bloom filter of the hashes; the driver gets at most ``filter_bits`` / 64 words of it."""
+    unsigned = F.shiftrightunsigned
+    places = F.array(*[F.pmod(unsigned("h", s), F.lit(p.filter_bits)) if s else F.pmod(F.col("h"), F.lit(p.filter_bits)) for s in (0, 20, 40)])
+    at = keys.select(F.explode(places).alias("b"))
+    words = at.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("m")).collect()
+    out = np.zeros(p.filter_bits // 64, dtype=np.uint64)
+    for r in words:
+        out[r["w"]] = np.uint64(r["m"] & 0xFFFFFFFFFFFFFFFF)
+    return out
 
 
 def _consistent(index: Index, item: int, surface: np.ndarray, slot: np.ndarray, shift: int, starts: list[int], p: Template) -> set[int]:
@@ -291,55 +343,106 @@ def _joined(index: Index, item: int, template: np.ndarray, surface: np.ndarray,
     return best
 
 
-def _finder(index: Index, p: Template):
-    """A function from texts to {(row, item): (covered words, same words)}."""
-    low = np.uint64((1 << 20) - 1)
-    may = np.zeros(1 << 20, dtype=bool)
-    may[index.hash & low] = True
-    keys = {n: np.sort(np.array(list(rows), dtype=np.uint64)) for n, rows in index.whole.items()}
-
-    def find(texts: pa.Array) -> dict[tuple[int, int], tuple[int, int]]:
-        w, surface, slot = canonical(texts)
-        h, row, pos = _window_hashes(w, slot, p)
-        some = np.flatnonzero(may[h & low])
-        first = np.searchsorted(index.hash, h[some], "left")
-        last = np.searchsorted(index.hash, h[some], "right")
-        lines: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for k, a, b in zip(some.tolist(), first.tolist(), last.tolist(), strict=True):
-            for j in range(a, b):
-                lines[int(row[k]), int(index.item[j])][int(pos[k] - index.pos[j])].append(int(index.pos[j]))
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for (r, item), shifts in lines.items():
-            at, end, base = int(w.off[r]), int(w.off[r + 1]), int(index.off[item])
-            covered = _joined(index, item, w.hash[at:end], surface[at:end], slot[at:end], shifts, p)
-            if len(covered) >= min(p.cover, int(index.size[item])):
-                same = sum(int(index.surface[base + k]) == int(surface[at + k + shift]) for k, shift in covered.items())
-                best[r, item] = (len(covered), same)
-        plain = Words(w.data, w.text_off, w.start, w.end, surface, w.off)
-        for k, wanted in keys.items():
-            g, off = windows(plain, k, seed=12)
-            place = np.minimum(np.searchsorted(wanted, g), len(wanted) - 1)
-            for j in np.flatnonzero(wanted[place] == g).tolist():
-                r = int(np.searchsorted(off, j, "right")) - 1
-                at = int(w.off[r]) + j - int(off[r])
-                for item in index.whole[k][int(g[j])]:
-                    n, base = int(index.size[item]), int(index.off[item])
-                    if at + n <= w.off[r + 1] and (surface[at : at + n] == index.surface[base : base + n]).all():
-                        best[r, item] = (n, n)
-        return best
-
-    return find
+def _compare(text: pa.Array, index: Index, p: Template) -> dict[int, tuple[int, int]]:
+    """{item: (covered words, same words)} of one text and the items that it may hold."""
+    w, surface, slot = canonical(text)
+    n = int(w.off[1])
+    h, _, pos = _window_hashes(w, slot, p)
+    first, last = np.searchsorted(index.hash, h, "left"), np.searchsorted(index.hash, h, "right")
+    many = last - first
+    j = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+    item, start = index.item[j], index.pos[j]
+    shift = np.repeat(pos, many) - start
+    order = np.lexsort((start, shift, item))
+    item, start, shift = item[order], start[order], shift[order]
+    best: dict[int, tuple[int, int]] = {}
+    for a, b in _runs(item):
+        i = int(item[a])
+        lines = {int(shift[a + x]): start[a + x : a + y].tolist() for x, y in _runs(shift[a:b])}
+        covered = _joined(index, i, w.hash, surface, slot, lines, p)
+        if len(covered) >= min(p.cover, int(index.size[i])):
+            base = int(index.off[i])
+            best[i] = (len(covered), sum(int(index.surface[base + k]) == int(surface[k + s]) for k, s in covered.items()))
+    for i in index.whole:
+        own = index.surface[index.off[i] : index.off[i + 1]]
+        if any((surface[at : at + len(own)] == own).all() for at in np.flatnonzero(surface[: max(n - len(own) + 1, 0)] == own[0])):
+            best[i] = (len(own), len(own))
+    return best
 
 
-def _indexes(benchmark: DataFrame, p: Template) -> Iterator[Index]:
-    """The benchmark's windows in blocks of a bounded size."""
+def _runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal values."""
+    cut = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
+    return list(zip(cut[:-1], cut[1:], strict=True)) if len(x) else []
+
+
+def _suspects(filter_: np.ndarray, heads: list[int], p: Template):
+    """Of (doc_id, text) the rows with a hash that may be one of the benchmark's, and these hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, "text"):
+                w, surface, slot = canonical(part.column(1))
+                h, row, _ = _window_hashes(w, slot, p)
+                found = [(h, row)]
+                for k in heads:
+                    g, off = _heads(w, surface, k)
+                    found.append((g, np.repeat(np.arange(part.num_rows), np.diff(off))))
+                h, row = (np.concatenate(c) for c in zip(*found, strict=True))
+                may = _may(filter_, h)
+                h, row = h[may].view(np.int64), row[may]
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+                new = np.ones(len(h), dtype=bool)
+                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                h, row = h[new], row[new]
+                some, at = np.unique(row, return_index=True)
+                if len(some):
+                    rows = part.take(pa.array(some))
+                    hits = pa.ListArray.from_arrays(pa.array(np.append(at, len(h)).astype(np.int32)), pa.array(h))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, hits], names=["doc_id", "text", "hits"])
+
+    return run
+
+
+def _compared(p: Template):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, Index] = {}
+        for batch in batches:
+            out = []
+            for k, (doc_id, row, items) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                items.sort(key=lambda x: (x["item_id"] is None, x["item_id"] or 0, x["text"]))
+                key = tuple(x["text"] for x in items)
+                if key not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    known[key] = build_index(list(key), p)
+                for i, (n, same) in sorted(_compare(batch.column(1).slice(k, 1), known[key], p).items()):
+                    out += [(doc_id, items[i]["item_id"], n, same, row)] * items[i]["copies"]
+            if out:
+                columns = [list(c) for c in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string())], names=["doc_id", "item_id", "n_matched", "n_same", "row"])
+
+    return run
+
+
+def _row() -> Column:
+    """Names a row by its id and text."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, p: Template) -> DataFrame:
+    """The rows of ``leaks`` with the name of each row."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(-(-total // p.max_block))
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        rows.sort(key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
-        yield build_index([r["item_id"] for r in rows], [r["text"] for r in rows], p)
+    items = items.groupBy("item_id", "text").agg(F.count("*").cast("int").alias("copies")).withColumn("item", F.md5(F.concat(F.coalesce(F.col("item_id").cast("string"), F.lit("-")), F.lit(":"), "text").cast("binary")))
+    items = store(items, "items")
+    keys = store(items.select("item", "text").mapInArrow(_keys_of_items(p), "h long, k int, item string").distinct(), "keys")
+    heads = sorted(r["k"] for r in keys.where("k > 0").select("k").distinct().collect())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    suspects = store(rows.mapInArrow(_suspects(_filter(keys, p), heads, p), "doc_id long, text string, hits array<long>").withColumn("row", _row()), "suspects")
+    pairs = suspects.select("row", F.explode("hits").alias("h")).distinct().join(keys.select("h", "item").distinct(), "h").select("row", "item").distinct()
+    named = pairs.join(items, "item").groupBy("row").agg(F.collect_list(F.struct("item_id", "text", "copies")).alias("items"))
+    return suspects.join(named, "row").select("doc_id", "text", "row", "items").mapInArrow(_compared(p), "doc_id long, item_id long, n_matched long, n_same long, row string")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, p: Template = Template()) -> DataFrame:
@@ -354,50 +457,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, p: Template = Template()) -> Da
     rows are reported each; null ids are reported as null.  Other columns are
     ignored.  Without documents or items there are no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, item_id long, n_matched long, n_same long"
-
-    def search(index: Index):
-        find = _finder(index, p)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in blocks(batch, "text"):
-                    ids = part.column(0).to_pylist()
-                    found = [(ids[r], index.items[item], n, same) for (r, item), (n, same) in sorted(find(part.column(1)).items())]
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*found, strict=True)], names=["doc_id", "item_id", "n_matched", "n_same"])
-
-        return run
-
-    out = None
-    for index in _indexes(benchmark, p):
-        got = docs.mapInArrow(search(index), schema)
-        out = got if out is None else out.union(got)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    return _found(docs, benchmark, p).drop("row")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Template = Template()) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text holds no benchmark item.
 
-    Rows are judged one by one in a single pass for each block of the benchmark,
-    without a join, so ids may be null or repeat and other columns may have any
-    name.
+    Rows are judged by id and text, so ids may be null or repeat, and other
+    columns may have any name.  The rows to drop are a written table of names, so
+    the join broadcasts them only if their size allows it.
     """
-    at = docs.columns.index("text")
-
-    def keep(index: Index):
-        find = _finder(index, p)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in blocks(batch, "text"):
-                    clean = np.ones(part.num_rows, dtype=bool)
-                    clean[[r for r, _ in find(part.column(at))]] = False
-                    yield part.filter(pa.array(clean))
-
-        return run
-
-    for index in _indexes(benchmark, p):
-        docs = docs.mapInArrow(keep(index), docs.schema)
-    return docs
+    gone = store(_found(docs, benchmark, p).select(F.col("row").alias("name")).distinct(), "leaks")
+    rows = docs.select(_row().alias("name"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"))
+    return rows.join(gone, "name", "left_anti").select("kept.*")
