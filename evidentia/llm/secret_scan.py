@@ -1,8 +1,15 @@
 """Secrets in texts: fixed patterns, and random strings told from identifiers by Markov models.
 
 Two first-order character models, one of random strings and one of ordinary
-identifiers, are trained from labelled samples; a long run of key characters is
-reported if its mean log-likelihood ratio exceeds a threshold.
+identifiers, are compared by their log-likelihood ratio: a run of key characters,
+or a part of one between separators, is reported if the ratio a character exceeds
+a threshold that falls with the length of the run.
+
+The models are trained from labelled samples.  A bounded sample of the documents
+(``max_docs``, by a hash) gives both labels: what the fixed patterns find is
+random, plain words in one case are ordinary.  As identifiers join words, and as
+a corpus may hold few secrets, seeded rules add joined words and numbers to the
+one and strings drawn from the alphabets of keys to the other.
 """
 
 from __future__ import annotations
@@ -19,7 +26,9 @@ from pyspark.sql import functions as F
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+PART = re.compile(r"[A-Za-z0-9]{16,}")
+PLAIN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:[A-Za-z]?[a-z]{2,23}|[A-Z]{3,24})(?![A-Za-z0-9+/_=-])")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 KINDS = ("assign", "access", "hex", "markov")
 
@@ -27,46 +36,80 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _CODE = np.full(128, len(ALPHABET), dtype=np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 
-# Parts of ordinary identifiers.
-PARTS = """account action address admin after align all amount app array async auth back base batch before begin bit block body bool border box
-buffer build button byte cache call cancel card cell change channel char check child class clear click client clock close code collection color
-column command common config connect console content context control convert copy core count create current cursor custom data database date debug
-default delete depth description detail device dialog directory disable display document domain download draw driver edit element email empty
-enable end engine entry error event example execute export external factory field file filter find first flag flow folder font footer format
-frame function gateway get global graph grid group handler hash header height hidden history home host icon identifier image import index info
-initial input insert instance integer interface internal item iterator java job key kind label language last layer layout length level library
-line link list listener load local lock log login long loop main manager map mark master match max menu merge message meta method middle min mode
-model module monitor mouse move name native network next node normal notification null number object offset open operation option order output
-owner package page panel parent parse password path pattern payload percent permission phone player plugin point policy pool port position post
-prefix previous print priority private process product profile program project property protocol provider proxy public query queue random range
-raw read record reference refresh region register remote remove render repeat replace report request reset resolve resource response rest result
-return right role root route row rule run sample save scale schedule schema scope screen script scroll search second section security select sender
-sequence serial server service session setting shape share short show signal simple size socket sort source space split stack start state static
-status step stop storage store stream string style submit subject success suffix summary support switch symbol sync system table tag target task
-template test text theme thread time title token tool top total track transaction transfer tree trigger type unique unit update upload user util
-valid value variable vector version video view visible wait web widget width window word work worker write zone""".split()
-
-
-def labelled_samples(n: int = 4000, seed: int = 13) -> list[tuple[str, int]]:
-    """Strings with label 1 (random) or 0 (identifier), drawn by a seeded rule."""
-    rng = np.random.default_rng(seed)
-    sets = [ALPHABET[:62], ALPHABET[:64], ALPHABET[:62] + "_-", "0123456789abcdef", ALPHABET[26:62]]
-    out: list[tuple[str, int]] = []
-    for i in range(n):
-        chars = sets[i % len(sets)]
-        out.append(("".join(chars[k] for k in rng.integers(0, len(chars), int(rng.integers(20, 56)))), 1))
-        parts = [PARTS[k] for k in rng.integers(0, len(PARTS), int(rng.integers(3, 8)))]
-        style = int(rng.integers(0, 6))
+#: Words of identifiers where a corpus has none.
+WORDS = ["account", "buffer", "client", "data", "error", "file", "group", "handler", "index", "key", "list", "manager", "name", "object", "path", "query", "result", "server", "table", "user", "value", "window"]
+
+
+@dataclass(frozen=True)
+class Scan:
+    """Bounds of the training sample, and the thresholds.
+
+    A run of ``n`` characters is reported if its mean log-likelihood ratio is above
+    ``threshold + slack / n``.
+    """
+
+    max_docs: int = 20_000
+    max_strings: int = 4_000  # of each label
+    threshold: float = 0.6
+    slack: float = 8.0
+    seed: int = 13
+
+
+def corpus_strings(docs: DataFrame, p: Scan = Scan()) -> tuple[list[str], list[str]]:
+    """(plain words, values of the fixed patterns) of about ``max_docs`` documents, ``max_strings`` of each at most.
+
+    Documents, and of too many strings those that are kept, are chosen by a hash, so the same table gives the same lists.
+    """
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("k")).where("text is not null")
+    share = min(1.0, p.max_docs / max(1, docs.count()))
+    rows = rows.where(F.pmod("k", F.lit(1 << 30)) <= int(share * (1 << 30))).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zlib import crc32
+
+        found: tuple[set, set] = (set(), set())
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found[0].update(PLAIN.findall(text))
+                found[1].update(text[a:b].rsplit("=", 1)[-1] if k else _value(text[a:b]) for a, k, b in base_spans(text))
+            for strings in found:
+                if len(strings) > 8 * p.max_strings:
+                    kept = sorted(strings, key=lambda s: (crc32(s.encode()), s))[: p.max_strings]
+                    strings.clear()
+                    strings.update(kept)
+        for label, strings in enumerate(found):
+            kept = sorted(strings, key=lambda s: (crc32(s.encode()), s))[: p.max_strings]
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(kept), pa.int32()), pa.array(kept, pa.string())], names=["label", "string"])
+
+    strings = rows.mapInArrow(run, "label int, string string").distinct()
+    order = F.crc32(F.col("string").cast("binary"))
+    lists = [strings.where(F.col("label") == label).orderBy(order, "string").limit(p.max_strings).collect() for label in (0, 1)]
+    return [r["string"] for r in lists[0]], [r["string"] for r in lists[1]]
+
+
+def _value(assignment: str) -> str:
+    return ASSIGN.match(assignment)[2]
+
+
+def labelled_samples(words: list[str], secrets: list[str], p: Scan = Scan()) -> list[tuple[str, int]]:
+    """Strings with label 1 (random) or 0 (ordinary): those given, and seeded ones made of words, digits and key alphabets."""
+    rng = np.random.default_rng(p.seed)
+    out = [(s, 1) for s in secrets] + [(w, 0) for w in words if len(w) >= 4]
+    words = [w.lower() for w in words] + WORDS
+    alphabets = [ALPHABET[:62], ALPHABET[:64], ALPHABET[:62] + "_-", "0123456789abcdef", ALPHABET[26:62]]
+    for i in range(p.max_strings):
+        chars = alphabets[i % len(alphabets)]
+        out.append(("".join(chars[k] for k in rng.integers(0, len(chars), int(rng.integers(16, 56)))), 1))
+        parts = [words[k] for k in rng.integers(0, len(words), int(rng.integers(2, 6)))]
+        style = i % 7  # the last one: dates and numbers
         if style == 0:
-            word = parts[0] + "".join(p.title() for p in parts[1:])
-        elif style == 5:
-            word = "".join(parts)
+            word = parts[0] + "".join(x.title() for x in parts[1:])
+        elif style == 6:
+            word = ("", "-", "/", "_")[int(rng.integers(0, 4))].join(f"{k:02d}" for k in rng.integers(0, 100, int(rng.integers(2, 12))))
         else:
-            word = ("_", "-", "/", "_")[style - 1].join(parts)
-            word = word.upper() if style == 4 else word
-        if rng.random() < 0.3:
-            word += str(int(rng.integers(0, 10_000)))
-        out.append((word, 0))
+            word = ("_", "-", "/", "", "_")[style - 1].join(parts)
+            word = word.upper() if style == 5 else word
+        out.append((word + str(int(rng.integers(0, 10_000))) if rng.random() < 0.3 else word, 0))
     return out
 
 
@@ -110,18 +153,33 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def all_spans(text: str, model: Markov, threshold: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """The fixed patterns' spans, and these with the random strings that touch none of them."""
+def _random(text: str, start: int, end: int, model: Markov, p: Scan) -> Iterator[tuple[int, int]]:
+    """Spans inside a run of key characters that the models take for random: the run, or else its parts between separators."""
+    run = text[start:end]
+    own = run.strip("=-_/+")
+    if len(own) < 16:
+        return
+    start += run.index(own)
+    if model.score(own) > p.threshold + p.slack / len(own):
+        yield start, start + len(own)
+        return
+    for m in PART.finditer(own):
+        if len(m[0]) < len(own) and model.score(m[0]) > p.threshold + p.slack / len(m[0]):
+            yield start + m.start(), start + m.end()
+
+
+def all_spans(text: str, model: Markov, p: Scan) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """The fixed patterns' spans, and these with the random strings outside them."""
     base = base_spans(text)
     extra = []
     for m in RUN.finditer(text):
-        s, e = m.span()
-        run = m[0].strip("=-_/+")
-        if any(a < e and s < b for a, _, b in base) or not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)) or len(run) < 20:
-            continue
-        if model.score(run) > threshold:
-            s = s + m[0].index(run)
-            extra.append((s, 3, s + len(run)))
+        at, end = m.span()
+        for a, _, b in base:  # what a fixed pattern covers is cut out
+            if a < end and at < b:
+                extra += [(s, 3, e) for s, e in _random(text, at, max(a, at), model, p)]
+                at = max(at, b)
+        if at < end:
+            extra += [(s, 3, e) for s, e in _random(text, at, end, model, p)]
     return base, sorted(base + extra)
 
 
@@ -129,22 +187,22 @@ def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def find_secrets(docs: DataFrame, model: Markov | None = None, threshold: float = 0.8) -> DataFrame:
+def find_secrets(docs: DataFrame, model: Markov | None = None, p: Scan = Scan()) -> DataFrame:
     """Returns (doc_id, kinds, starts, ends, base, spans) for each row of ``docs``.
 
     Positions are code points, ends exclusive.  ``kinds``, ``starts`` and ``ends``
     are parallel arrays ordered by start; ``base`` and ``spans`` are the same
-    written out, without and with the model's finds.  A null text is empty; null
-    and repeated ids are ordinary rows; other columns are ignored; an empty table
-    gives an empty result.
+    written out, without and with the models' finds.  Without a model one is
+    trained from ``docs``.  A null text is empty; null and repeated ids are ordinary
+    rows; other columns are ignored; an empty table gives an empty result.
     """
-    model = model or train(labelled_samples())
+    model = model or train(labelled_samples(*corpus_strings(docs, p), p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, spans = [], []
             for text in batch.column(1).to_pylist():
-                b, s = all_spans(text or "", model, threshold)
+                b, s = all_spans(text or "", model, p)
                 base.append(written(b))
                 spans.append(s)
             yield pa.RecordBatch.from_arrays(
