@@ -2,7 +2,7 @@
 
 Large-star and small-star steps (Kiveris et al., 2014) run as aggregations and
 joins, so neither links nor components reach the driver and a vertex with very
-many links is pre-aggregated before each shuffle.
+many links is pre-aggregated before each shuffle and never gathered in one task.
 """
 
 from __future__ import annotations
@@ -12,11 +12,29 @@ from pyspark.sql import functions as F
 
 from .storage import store
 
+#: A key is hot with more rows than this share of all, and these at least.  So at most ``HOT_SHARE`` keys are hot in a large table.
+HOT_SHARE, HOT_ROWS = 2048, 64
 
-def _hang(pairs: DataFrame) -> DataFrame:
+
+def join_counted(rows: DataFrame, per_key: DataFrame, key: str, total: int, count: str = "c") -> DataFrame:
+    """Joins ``rows`` (``total`` at most) with one row a key that holds the key's number of rows.
+
+    Rows of hot keys stay where they are: the hot keys, of which there are no more
+    than ``HOT_SHARE`` (or ``total / HOT_ROWS`` in a small table), are broadcast.  All
+    others are shuffled, and no task gets more than the hot limit for one key.
+    """
+    hot = F.col(count) > max(HOT_ROWS, total // HOT_SHARE)
+    names = [c for c in per_key.columns if c != key]
+    many = F.broadcast(per_key.where(hot))
+    few = per_key.where(~hot)
+    cold = rows.join(F.broadcast(per_key.where(hot).select(key)), key, "left_anti").join(few.hint("shuffle_hash"), key)
+    return rows.join(many, key).select(*rows.columns, *names).unionByName(cold.select(*rows.columns, *names))
+
+
+def _hang(pairs: DataFrame, total: int) -> DataFrame:
     """Every (u, v) becomes (v, least of u and all its v)."""
-    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return pairs.join(least, "u").select("u", "v", "m")
+    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
+    return join_counted(pairs, least, "u", total).select("u", "v", "m")
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -28,18 +46,18 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     clean = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null")
     edges = store(clean.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    state = None
+    state, total = None, edges.count()
     for _ in range(max_rounds):
         both = edges.where("u <> v").union(edges.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _hang(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _hang(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.union(edges.where("u = v"))
-        hung = _hang(large)
+        hung = _hang(large, 2 * total)
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).union(hung.select("u", F.col("m").alias("v"))).distinct()
         edges = store(small, "links")
         row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == state:
             break
-        state = tuple(row)
+        state, total = tuple(row), row[0]
     else:
         raise RuntimeError(f"no convergence after {max_rounds} rounds")
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, join_counted
 from .storage import store
 from .wordhash import blocks, constants, hash_words, mix, windows
 
@@ -185,9 +185,9 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def _dealt(rows: DataFrame, key: str, parts: DataFrame) -> DataFrame:
-    """Rows of a group of ``n`` blocks, copied to each pair of blocks (bi <= bj) that theirs is in."""
-    dealt = rows.join(parts, key).withColumn("blk", F.pmod(F.xxhash64("id", F.lit(5)), F.col("n")).cast("int"))
+def _dealt(rows: DataFrame, key: str, parts: DataFrame, total: int) -> DataFrame:
+    """Rows of a group of ``n`` blocks, copied to each pair of blocks (bi <= bj) that theirs is in; ``parts`` has its ``c`` rows."""
+    dealt = join_counted(rows, parts, key, total).drop("c").withColumn("blk", F.pmod(F.xxhash64("id", F.lit(5)), F.col("n")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1))
     return dealt.withColumn("o", other).withColumn("bi", F.least("blk", "o")).withColumn("bj", F.greatest("blk", "o"))
 
@@ -289,16 +289,16 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     classes = known.where("cid is not null and doc_id is not null").groupBy(F.col("cid").alias("id"))
     classes = store(classes.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
     # candidate buckets: band keys that two classes or more share
-    band = classes.select("id", F.explode("bands").alias("key")).repartition(parts, "key")
-    sizes = band.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / p.bucket_block).cast("int").alias("n"))
-    dealt = _dealt(band, "key", sizes).join(classes.select("id", "sig"), "id").select("key", "bi", "bj", "id", "sig")
+    band = classes.select("id", F.explode("bands").alias("key"))
+    sizes = band.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", "c", F.ceil(F.col("c") / p.bucket_block).cast("int").alias("n"))
+    dealt = _dealt(band, "key", store(sizes, "buckets"), p.bands * classes.count()).join(classes.select("id", "sig"), "id").select("key", "bi", "bj", "id", "sig")
     dealt = dealt.repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id")
     clusters = store(connected_components(dealt.mapInArrow(_edges_of_buckets(p), "a long, b long").distinct()), "clusters")
     # exact links inside clusters
     wanted = clusters.join(classes.select("id", "doc_id", "n_shingles"), "id")
-    cut = wanted.groupBy("component").agg(F.ceil(F.sum("n_shingles") / p.cluster_block).cast("int").alias("n"))
+    cut = wanted.groupBy("component").agg(F.count("*").alias("c"), F.ceil(F.sum("n_shingles") / p.cluster_block).cast("int").alias("n"))
     texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = _dealt(_sets(texts, p).join(clusters, "id"), "component", cut)
+    sets = _dealt(_sets(texts, p).join(clusters, "id"), "component", store(cut, "cut"), clusters.count())
     sets = sets.select("component", "bi", "bj", "id", "shingles").repartition(parts, "component", "bi", "bj").sortWithinPartitions("component", "bi", "bj", "id")
     groups = connected_components(sets.mapInArrow(_links_of_clusters(p), "a long, b long"))
     # back to documents
@@ -313,7 +313,9 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
 def keep_first(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose doc_id is the smallest of their group.
 
-    Rows with a null doc_id stay.
+    Rows with a null doc_id stay; rows that share a doc_id stay or go together.
+    Other columns may have any name.  An empty table gives an empty result.
     """
-    gone = near_duplicates(docs, p).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, p).where("not kept").select(F.col("doc_id").alias("name")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("name"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"))
+    return rows.join(gone, "name", "left_anti").select("kept.*")
