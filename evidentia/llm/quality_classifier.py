@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from .wordhash import blocks, hash_spans, hash_words, text_buffer
 
 
+#: Numeric columns of the documents table that the model may see; lang, source and doc_id are never inputs.
+METADATA = ("n_chars",)
+
+
 @dataclass(frozen=True)
 class Machine:
     """Parameters of the model and its training."""
@@ -182,18 +186,16 @@ def train(docs: DataFrame, labels: DataFrame, m: Machine = Machine(), meta: tupl
 
     ``labels`` has doc_id and quality; rows with a null in either are skipped, of
     an id with several labels the largest counts, an id without a document is
-    ignored and of documents that share an id one is used.  Without labelled rows
+    ignored and of documents that share an id the one with the least text is used.  Without labelled rows
     the model scores 0.5.
     """
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality"))
     named = named.where("doc_id is not null and quality is not null").where(fold() != 0).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(m.max_train)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).cast("double").alias(f"m{k}") for k, c in enumerate(meta)])
-    rows = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(_sparse(m, len(meta)), "doc_id long, quality double, indices binary, weights binary")
-    got = {}
-    for r in rows.toLocalIterator():
-        got[r["doc_id"]] = min(got.get(r["doc_id"], r), r, key=lambda x: bytes(x["indices"]))
-    data = [got[k] for k in sorted(got)]
+    rows = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct("text", *[f"m{k}" for k in range(len(meta))])).alias("r"))
+    rows = rows.select("doc_id", "r.*", "quality").mapInArrow(_sparse(m, len(meta)), "doc_id long, quality double, indices binary, weights binary")
+    data = sorted(rows.collect(), key=lambda r: r["doc_id"])  # max_train rows at most
     index = [np.frombuffer(r["indices"], np.int32) for r in data]
     value = [np.frombuffer(r["weights"], np.float32) for r in data]
     off = np.concatenate([[0], np.cumsum([len(i) for i in index])]).astype(np.int64)
@@ -232,8 +234,10 @@ def _scores(model: Fitted, part: pa.RecordBatch, text: int, m: Machine, first: i
 def score(docs: DataFrame, model: Fitted, m: Machine = Machine(), meta: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row; labels, lang, source and doc_id are no inputs.
 
-    Null and empty texts are scored by their statistics.  A null doc_id has null
-    ``held_out``.
+    ``meta`` names the numeric columns that the model was trained with; a null in
+    one counts as 0.  Null and empty texts are scored by their statistics.  A null
+    doc_id has null ``held_out``.  Rows are scored each by itself, so repeated rows
+    and ids get equal scores; an empty table gives an empty result.
     """
     sent = model
 
@@ -248,13 +252,21 @@ def score(docs: DataFrame, model: Fitted, m: Machine = Machine(), meta: tuple[st
     return out.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= m.threshold).cast("int").alias("predicted"))
 
 
-def accept(docs: DataFrame, model: Fitted, m: Machine = Machine()) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the model does not reject."""
+def accept(docs: DataFrame, model: Fitted, m: Machine = Machine(), meta: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the model does not reject.
+
+    A row is judged by its text and ``meta`` columns alone, as ``score`` does it:
+    nulls, empty and very long texts have a score as well, ids may be null or
+    repeat, equal rows stay or go together, and other columns may have any name.  An
+    empty table gives an empty result.
+    """
     at = docs.columns.index("text")
+    places = [docs.columns.index(c) for c in meta]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, "text"):
-                yield part.filter(pa.array(_scores(model, part, at, m) >= m.threshold))
+                known = part.select([at, *places])
+                yield part.filter(pa.array(_scores(model, known, 0, m, 1, len(meta)) >= m.threshold))
 
     return docs.mapInArrow(run, docs.schema)

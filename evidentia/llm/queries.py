@@ -39,7 +39,8 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learned outside fold 0."""
     docs = read(spark, sf_dir, "documents")
-    return quality_classifier.score(docs, quality_classifier.train(docs, read(spark, sf_dir, "labels")))
+    meta = quality_classifier.METADATA
+    return quality_classifier.score(docs, quality_classifier.train(docs, read(spark, sf_dir, "labels"), meta=meta), meta=meta)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
