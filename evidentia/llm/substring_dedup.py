@@ -13,14 +13,15 @@ the anchors, are grown from the root word by word; a node that holds one leaf is
 not grown further.  A node of depth ``window - d`` of the one and a node of depth
 ``d`` of the other name a passage of ``window`` words, and of the suffixes below
 both all but the first repeat it.  Runs of such windows are the maximal repeats.
-Words are compared by their 64-bit hashes, each word by itself.
+Words are compared by 48 bits of their hashes, each word by itself.
 
 Scale: documents are dealt to blocks by a hash of their id and text, and a block
 counts each prefix once, so the counts of a prefix that stands in a third of all
 documents are one row a block.  The texts are shuffled once; all steps read that
 exchange.  A prefix above ``group_size`` suffixes is dealt to subgroups by a hash
 of the place; what is new in its subgroup is then compared under the prefix
-grown to the whole window, of which every subgroup has one suffix at most.  So no
+grown to the whole window (by a 128-bit hash of its words), of which every
+subgroup has one suffix at most.  So no
 task holds more than a block of documents, ``group_size`` suffixes or one suffix
 from each subgroup, however many copies there are.
 """
@@ -36,8 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import store
-from .wordhash import Words, blocks, hash_words, mix, windows
+from .wordhash import Words, blocks, constants, hash_words, mix, windows
 
 
 @dataclass(frozen=True)
@@ -54,6 +54,8 @@ class Repeat:
 
 
 _NO_ID = -(1 << 63)
+#: Bytes of a word's hash that are compared.
+WIDTH = 6
 #: Suffixes whose trees are grown at a time, if no group has more.
 TOGETHER = 100_000
 
@@ -127,6 +129,10 @@ def _prefixes(p: Repeat):
     return run
 
 
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
 _SUFFIXES = "grp long, salt int, split boolean, id long, b int, k int, start int, left int, n int, words binary"
 
 
@@ -158,16 +164,16 @@ def _suffixes(p: Repeat):
             groups = -(-n // p.group_size)
             k = at + doc
             salt = mix(k.astype(np.uint64) * np.uint64(1 << 20) + first.astype(np.uint64) + np.uint64(key[0].as_py() << 40)) % groups.astype(np.uint64)
-            binary = pa.Array.from_buffers(pa.binary(), len(got), [None, pa.py_buffer((8 * off).astype(np.int32)), pa.py_buffer(words)])
+            words = np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH])
+            binary = pa.Array.from_buffers(pa.binary(), len(got), [None, pa.py_buffer((WIDTH * off).astype(np.int32)), pa.py_buffer(words)])
             columns = [a.key[got].view(np.int64), salt.astype(np.int32), groups > 1, block.column("id").to_numpy()[k], np.full(len(got), key[0].as_py(), np.int32), k.astype(np.int32), first.astype(np.int32), a.left[got].astype(np.int32), count.astype(np.int32)]
-            out.append(pa.Table.from_arrays([*map(pa.array, columns), binary], names=_SUFFIX_NAMES))
+            out.append(pa.Table.from_arrays([*map(pa.array, columns), binary], names=_names(_SUFFIXES)))
         return pa.concat_tables(out) if out else _NO_SUFFIXES
 
     return run
 
 
-_SUFFIX_NAMES = [c.split()[0] for c in _SUFFIXES.split(", ")]
-_NO_SUFFIXES = pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())], names=_SUFFIX_NAMES)
+_NO_SUFFIXES = pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())], names=_names(_SUFFIXES))
 
 
 def grown(root: np.ndarray, words: np.ndarray, first: np.ndarray, step: int, length: np.ndarray, depth: int) -> np.ndarray:
@@ -242,61 +248,65 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-_FOUND = "b int, k int, start int, n int, bits binary, grp long, id long, words binary"
-_FOUND_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
+_HITS = "b int, k int, start int, n int, bits binary"
+_FOUND = "grp long, name long, id long, b int, k int, start int, n int, bits binary"
 
 
 def _grow(p: Repeat):
-    """Repeats of each group, as bits of the windows of a suffix; of a split group also the windows that are new, one row each."""
+    """Repeats of each group, as bits of the windows of a suffix; and of split groups the other windows, one row each without bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, 2):
             table = table.combine_chunks()
-            col = {n: table.column(n).chunk(0) for n in _SUFFIX_NAMES}
-            grp, salt, left, count = (col[n].to_numpy() for n in ("grp", "salt", "left", "n"))
-            off = np.frombuffer(col["words"].buffers()[1], np.int32)[col["words"].offset : col["words"].offset + len(grp) + 1].astype(np.int64)
-            words = np.frombuffer(col["words"].buffers()[2], np.uint8)[off[0] : off[-1]].copy().view(np.uint64)
-            off = (off - off[0]) // 8
-            new = np.ones(len(grp), dtype=bool)
-            new[1:] = (grp[1:] != grp[:-1]) | (salt[1:] != salt[:-1])
+            col = {n: table.column(n).chunk(0) for n in _names(_SUFFIXES)}
+            key, salt, left, count = (col[n].to_numpy() for n in ("grp", "salt", "left", "n"))
+            off = np.frombuffer(col["words"].buffers()[1], np.int32)[col["words"].offset : col["words"].offset + len(key) + 1].astype(np.int64)
+            wide = np.zeros(((off[-1] - off[0]) // WIDTH, 8), dtype=np.uint8)
+            wide[:, :WIDTH] = np.frombuffer(col["words"].buffers()[2], np.uint8)[off[0] : off[-1]].reshape(-1, WIDTH)
+            words = wide.view("<u8")[:, 0]
+            off = (off - off[0]) // WIDTH
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
             left, count = left.astype(np.int64), count.astype(np.int64)
             again = repeated(np.cumsum(new) - 1, words, off, left, count, p)
             ends = np.cumsum(count)
-            row = np.repeat(np.arange(len(grp)), count)
-            some = np.flatnonzero(np.bincount(row[again], minlength=len(grp)))
-            bits = [np.packbits(again[ends[i] - count[i] : ends[i]]).tobytes() for i in some.tolist()]
+            row = np.repeat(np.arange(len(key)), count)
+            some = np.flatnonzero(np.bincount(row[again], minlength=len(key)))
             at = pa.array(some)
-            none = [pa.nulls(len(some), t) for t in (pa.int64(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(col[n].take(at) for n in ("b", "k", "start", "n")), pa.array(bits, pa.binary()), *none], names=_FOUND_NAMES)
-            fresh = np.flatnonzero(~again & col["split"].to_numpy(zero_copy_only=False)[row])
-            for a in range(0, len(fresh), TOGETHER):
-                f = fresh[a : a + TOGETHER]
+            bits = pa.array([np.packbits(again[ends[i] - count[i] : ends[i]]).tobytes() for i in some.tolist()], pa.binary())
+            nowhere = pa.array(mix(some.astype(np.uint64) + np.uint64(1)).view(np.int64))  # these rows may go to any task
+            yield pa.RecordBatch.from_arrays([nowhere, pa.nulls(len(some), pa.int64()), *(col[n].take(at) for n in ("id", "b", "k", "start", "n")), bits], names=_names(_FOUND))
+            others = np.flatnonzero(~again & col["split"].to_numpy(zero_copy_only=False)[row])
+            for a in range(0, len(others), TOGETHER):
+                f = others[a : a + TOGETHER]
                 r = row[f]
                 shift = f - (ends[r] - count[r])
                 own = words[(off[r] + shift)[:, None] + np.arange(p.window)]
-                name = mix((own * _POWERS[: p.window]).sum(axis=1, dtype=np.uint64)).view(np.int64)
+                name = [pa.array(mix((own * c).sum(axis=1, dtype=np.uint64)).view(np.int64)) for c in (constants(p.window, 31), constants(p.window, 32))]
                 at = pa.array(r)
+                place = [col[n].take(at) for n in ("id", "b", "k")]
                 start = pa.array((col["start"].to_numpy()[r] + shift).astype(np.int32))
-                binary = pa.array([x.tobytes() for x in own], pa.binary())
-                yield pa.RecordBatch.from_arrays([col["b"].take(at), col["k"].take(at), start, pa.array(np.ones(len(r), np.int32)), pa.nulls(len(r), pa.binary()), pa.array(name), col["id"].take(at), binary], names=_FOUND_NAMES)
+                yield pa.RecordBatch.from_arrays([*name, *place, start, pa.array(np.ones(len(r), np.int32)), pa.nulls(len(r), pa.binary())], names=_names(_FOUND))
 
     return run
 
 
-_POWERS = mix(np.arange(1, 1025, dtype=np.uint64)) | np.uint64(1)
-
-
 def _late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of windows (grp, words, ...) sorted by these and their place all but the first of each passage."""
+    """Rows with bits; and of windows, sorted by (grp, name) and their place, all but the first of each passage."""
     last = None
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        late = np.array([x == y for x, y in zip(names, [last, *names[:-1]], strict=True)])
+        bits = batch.column("bits")
+        yield batch.filter(bits.is_valid()).select(_names(_HITS))
+        rest = batch.filter(bits.is_null())
+        if rest.num_rows == 0:
+            continue
+        names = np.stack([rest.column(c).to_numpy() for c in ("grp", "name")], axis=1)
+        late = np.append([last is not None and (names[0] == last).all()], (names[1:] == names[:-1]).all(axis=1))
         last = names[-1]
-        at = pa.array(np.flatnonzero(late))
-        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in (2, 3, 4, 5)), pa.array([b"\x80"] * len(at), pa.binary())], names=_FOUND_NAMES[:5])
+        late = rest.filter(pa.array(late)).select(_names(_HITS)[:-1])
+        yield pa.RecordBatch.from_arrays([*late.columns, pa.array([b"\x80"] * late.num_rows, pa.binary())], names=_names(_HITS))
 
 
 def _cut(p: Repeat):
@@ -350,10 +360,8 @@ def remove_repeats(docs: DataFrame, p: Repeat = Repeat()) -> DataFrame:
     counted = counted.withColumn("n", F.sum("runs").over(Window.partitionBy("key"))).where("n > 1").select("b", "key", "n")
     suffixes = rows.groupBy("b").cogroup(counted.groupBy("b")).applyInArrow(_suffixes(p), _SUFFIXES)
     suffixes = suffixes.repartition(parts, "grp", "salt").sortWithinPartitions("grp", "salt", "id", "b", "k", "start")
-    found = store(suffixes.mapInArrow(_grow(p), _FOUND), "repeats")
-    fresh = found.where("grp is not null").select("grp", "words", "b", "k", "start", "n", "id").repartition(parts, "grp")
-    late = fresh.sortWithinPartitions("grp", "words", "id", "b", "k", "start").mapInArrow(_late, "b int, k int, start int, n int, bits binary")
-    hits = found.where("grp is null").select("b", "k", "start", "n", "bits").union(late)
+    found = suffixes.mapInArrow(_grow(p), _FOUND).repartition(parts, "grp").sortWithinPartitions("grp", "name", "id", "b", "k", "start")
+    hits = found.mapInArrow(_late, _HITS)
     return rows.groupBy("b").cogroup(hits.groupBy("b")).applyInArrow(_cut(p), "doc_id long, n_words long, n_removed long, kept string, spans array<int>")
 
 
