@@ -12,12 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import ATTRIBUTE_PRIORITY, CONFUSABLE, MIN_FUZZY_WORD, PLACEHOLDERS
+from ..schema import CONFUSABLE, MIN_FUZZY_WORD, PLACEHOLDERS
 
 ALNUM = r"[\p{L}\p{N}]"
 WORD = rf"{ALNUM}+"
-NOT_WORD = r"[^\p{L}\p{N}]"
-ASCII_WORD = r"[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*"
 
 
 def quoted(needle: Column) -> Column:
@@ -33,13 +31,6 @@ def is_placeholder(value: Column) -> Column:
     return F.lower(stripped(value)).isin(PLACEHOLDERS)
 
 
-def has_word_boundary(text: Column, start: Column, end: Column) -> Column:
-    """Whether no letter or digit touches the span from outside."""
-    left = F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise("")
-    right = F.substring(text, end + 1, F.lit(1))
-    return ~left.rlike(ALNUM) & ~right.rlike(ALNUM)
-
-
 def first_group(text: Column, pattern: Column) -> Column:
     """First group of a pattern that is itself a column; '' without a match."""
     return F.call_function("regexp_extract", text, pattern, F.lit(1))
@@ -76,37 +67,6 @@ def tokens(text: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
 
 
-def _token_span(text: Column, first: Column, n: Column, word: str, gap: str) -> Column:
-    """Span of ``n`` words from word number ``first`` on, by the lengths of two prefixes."""
-    head = F.concat(F.lit(f"(?s)^((?:{gap}{word}){{"), first.cast("string"), F.lit(f"}}{gap})"))
-    whole = F.concat(F.lit(f"(?s)^((?:{gap}{word}){{"), (first + n).cast("string"), F.lit("})"))
-    start = F.length(first_group(text, head))
-    return F.struct(start.alias("start"), F.length(first_group(text, whole)).alias("end"))
-
-
-def _first_window(words: Column, n: Column, test) -> Column:
-    """Number of the first of the consecutive windows of ``n`` words that passes, or null."""
-    starts = F.when((n > 0) & (F.size(words) >= n), F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-    return F.get(F.filter(starts, lambda i: test(F.slice(words, i + 1, n))), F.lit(0))
-
-
-def _run_of(text: Column, words: Column, wanted: Column, test, pattern: str, gap: str) -> Column:
-    """Span of the first window of as many words as wanted that passes the test."""
-
-    def search(w: Column, q: Column) -> Column:
-        first = _first_window(w, F.size(q), lambda window: test(window, q))
-        return let(first, lambda i: F.when(i.isNotNull(), _token_span(text, i, F.size(q), pattern, gap)))
-
-    return let(wanted, lambda q: let(words, lambda w: search(w, q)))
-
-
-def span_bag_of_words(text: Column, needle: Column) -> Column:
-    """First run of words of the text that is a rearrangement of the needle's two or more words."""
-    same = lambda window, q: (F.size(q) >= 2) & (F.array_sort(window) == q)
-    wanted = F.array_sort(tokens(F.lower(needle)))
-    return _run_of(text, tokens(F.lower(text)), wanted, same, WORD, f"{NOT_WORD}*")
-
-
 def one_confusable_swap(a: Column, b: Column) -> Column:
     """Equal but for one character, which is a look-alike (l, i and 1; o and 0); case is ignored."""
     x, y = F.lower(a), F.lower(b)
@@ -136,27 +96,10 @@ def words_fuzzy_equal(a: Column, b: Column) -> Column:
     )
 
 
-def span_fuzzy(text: Column, needle: Column) -> Column:
-    """First run of words that equals the needle word by word but for spelling, in one word at least."""
-
-    def near(window: Column, q: Column) -> Column:
-        every = F.forall(F.zip_with(window, q, words_fuzzy_equal), lambda x: x)
-        return every & (F.transform(window, F.lower) != F.transform(q, F.lower))
-
-    return _run_of(text, tokens(text, ASCII_WORD), tokens(needle, ASCII_WORD), near, f"(?:{ASCII_WORD})", r"(?:(?![A-Za-z0-9]).)*")
-
-
 def attribute_name(name: Column) -> Column:
     return F.replace(F.lower(F.trim(F.coalesce(name, F.lit("")))), F.lit(" "), F.lit("_"))
 
 
-def attribute_priority(name: Column) -> Column:
-    out = F.lit(0)
-    for known, rank in ATTRIBUTE_PRIORITY.items():
-        out = F.when(attribute_name(name) == known, rank).otherwise(out)
-    return out
-
-
 def field_name(name: Column) -> Column:
     """Lower case without hyphens, slashes, bars, underscores, full stops and white space."""
     return F.regexp_replace(F.lower(name), r"[-/|_.\s]", "")
@@ -168,8 +111,8 @@ def shard_of(key: Column, n: int) -> Column:
 
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
-    """Rounded percentage; null if the whole is 0."""
-    return F.round(F.try_divide(F.lit(100.0) * part, whole), digits)
+    """Percentage rounded to the nearest, a half to the even digit; null if the whole is 0."""
+    return F.bround(F.try_divide(F.lit(100.0) * part, whole), digits)
 
 
 def escaped(text: Column) -> Column:
@@ -184,6 +127,11 @@ def bold_span(text: Column, start: Column, end: Column) -> Column:
     return F.concat(escaped(before), F.lit("<b>"), escaped(inside), F.lit("</b>"), escaped(after))
 
 
+def one_word_denial(text: Column) -> Column:
+    """Whether the whole text is "no" with five or more lower-case letters behind it."""
+    return F.coalesce(text.rlike(r"\A[Nn]o[a-z]{5,}\z"), F.lit(False))
+
+
 def phrase_span(text: Column, phrase: Column) -> Column:
     """First place of a phrase, else ignoring case, else an empty span at 0."""
     at = F.coalesce(F.nullif(F.instr(text, phrase), F.lit(0)), F.nullif(F.instr(F.lower(text), F.lower(phrase)), F.lit(0)))

@@ -45,27 +45,38 @@ def verbatim(entries: Column, needle: Column) -> Column:
 
 
 def search_text(items: DataFrame, needle: str = "target_value", attributes: str = "attributes", secondary: str = "secondary", candidates: str | None = None, loose: bool = True) -> DataFrame:
-    """Adds ``found`` (matches, strategy, negated), null if nothing matched.
+    """The items without their entries and candidates, and ``found`` (matches, strategy, negated), null if nothing matched.
 
     Exact, ignoring case, normalised in attributes, the same three in the other
     entries; if ``loose`` then rearranged and misspelt words; with ``candidates``
     at last the other names of the value's term.  Verbatim tiers are native, with
-    a substring test before any pattern; the rest is one kernel pass over Arrow batches.  The
-    other entries are searched natively only where no attribute matched.
+    a substring test before any pattern; the rest is one kernel pass over Arrow
+    batches, which gets only the entries that it still has to search.  The other
+    entries are searched natively only where no attribute matched.
     """
     n = F.nullif(F.col(needle), F.lit(""))
     items = items.withColumn("_a", verbatim(F.col(attributes), n))
     items = items.withColumn("_s", F.when(F.col("_a").isNull(), verbatim(F.col(secondary), n)))
-    items = items.drop("found")
-    wanted = [items.columns.index(c) for c in (needle, attributes, secondary, "_a", "_s", *([candidates] if candidates else []))]
+    kept = [c for c in items.columns if c not in (attributes, secondary, candidates, "found", "_a", "_s")]
+    open_ = F.col("_a").isNull()
+    names = F.col(candidates) if candidates else F.lit(None).cast("array<string>")
+    items = items.select(
+        *kept,
+        n.alias("_n"),
+        F.when(open_, F.col(attributes)).alias("_x"),
+        F.when(open_ & F.col("_s").isNull(), F.col(secondary)).alias("_y"),
+        "_a",
+        "_s",
+        F.when(open_ & F.col("_s").isNull(), names).alias("_c"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(k).to_pylist() for k in wanted), strict=True)
-            found = [completed(*row[:5], row[5] if len(row) > 5 else None, loose) for row in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, FOUND_ARROW)], names=[*batch.schema.names, "found"])
+            rows = zip(*(batch.column(k).to_pylist() for k in range(len(kept), batch.num_columns)), strict=True)
+            found = [completed(*row, loose) for row in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(found, FOUND_ARROW)], names=[*kept, "found"])
 
-    return items.mapInArrow(run, StructType([*items.schema.fields, StructField("found", FOUND)])).drop("_a", "_s")
+    return items.mapInArrow(run, StructType([*[items.schema[c] for c in kept], StructField("found", FOUND)]))
 
 
 def explode_values(entries: DataFrame, field_map: str = "extracted") -> DataFrame:
@@ -134,3 +145,18 @@ def trace(records: DataFrame, results: DataFrame, terms: DataFrame | None = None
         named = terms.select(F.col("field").alias("target_field"), "term_id", "label", "exact_synonyms", "related_synonyms")
         values = values.join(named, ["target_field", "term_id"], "left")
     return verify(values.join(records.select(*keys, "attributes", "secondary"), list(keys)))
+
+
+def verify_one(record: DataFrame, extracted: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """Trace rows of a single record or a few, with ``matches``: raw field and text with the matched phrase in bold.
+
+    For display; the arguments are those of ``trace`` with the record's key.
+    """
+    rows = trace(record, extracted, terms)
+    each = F.arrays_zip("raw_fields", "raw_texts", "raw_matched_phrase")
+
+    def shown(m: Column) -> Column:
+        bold = T.let(T.phrase_span(m["raw_texts"], m["raw_matched_phrase"]), lambda s: T.bold_span(m["raw_texts"], s["start"], s["end"]))
+        return F.struct(m["raw_fields"].alias("raw_field"), bold.alias("raw_text"))
+
+    return rows.withColumn("matches", F.transform(each, shown))

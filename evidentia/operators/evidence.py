@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.kernels import parse_verdicts
+from ..functions.kernels import GROUNDED, GROUNDED_ARROW, grounded, parse_verdicts
 from ..functions.text import shard_of
 from ..schema import LLM, NOT_FOUND
+from ..scratch import store
 from . import shred
-from .cascade import no_matches, search_text
+from .sampling import order_key
 
 ATTRIBUTES, FULL_RECORD = "attributes", "full_record"
 KEYS = ["accession", "target_field", "target_value"]
@@ -63,17 +64,20 @@ def shown(secondary: Column, full_record: bool) -> Column:
 def ground(items: DataFrame, quotes: str = "quotes", full_record: bool = False) -> DataFrame:
     """Adds ``matches`` of all grounded quotes, in order, and ``ungrounded``, the quotes that are not there.
 
-    Each quote is searched exactly, ignoring case and normalised, never looser;
-    empty quotes are ungrounded.
+    Each quote is searched exactly, ignoring case and normalised, in attributes and
+    then in the other entries, never looser; empty quotes are ungrounded.  A row is
+    grounded by itself, so nothing is joined back to it.
     """
-    rows = items.withColumn("_row", F.monotonically_increasing_id())
-    each = rows.select("_row", "attributes", shown(F.col("secondary"), full_record).alias("secondary"), F.posexplode(quotes).alias("pos", "quote"))
-    found = search_text(each, "quote", loose=False)
-    lists = found.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("pos", "quote", F.coalesce("found.matches", no_matches()).alias("m")))).alias("g"))
-    missing = F.transform(F.filter("g", lambda x: F.size(x["m"]) == 0), lambda x: x["quote"])
-    lists = lists.select("_row", F.flatten(F.transform("g", lambda x: x["m"])).alias("_matches"), missing.alias("_missing"))
-    out = rows.join(lists, "_row", "left").drop("_row")
-    return out.withColumn("matches", F.coalesce("_matches", no_matches())).withColumn("ungrounded", F.coalesce("_missing", F.array().cast("array<string>"))).drop("_matches", "_missing")
+    rows = items.drop("matches", "ungrounded").withColumn("_shown", shown(F.col("secondary"), full_record))
+    wanted = [rows.columns.index(c) for c in (quotes, "attributes", "_shown")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [grounded(*row) for row in zip(*(batch.column(k).to_pylist() for k in wanted), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, GROUNDED_ARROW)], names=[*batch.schema.names, "_g"])
+
+    out = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("_g", GROUNDED)]))
+    return out.select(*[c for c in rows.columns if c != "_shown"], "_g.*")
 
 
 def accepted(found: Column, quotes: Column, ungrounded: Column) -> Column:
@@ -124,16 +128,19 @@ def verify_batch(items: DataFrame, make: Callable[[], Proposer], full_record: bo
 
 
 def two_passes(items: DataFrame, make: Callable[[], Proposer], short_only: bool = False, long_only: bool = False, explain: bool = False) -> DataFrame:
-    """Attributes first; what is still not found goes on to the whole record, whose row then counts."""
+    """Attributes first; what is still not found goes on to the whole record, whose row then counts.
+
+    Each pass is stored before it is used, so the model is asked each prompt once.
+    """
     if short_only and long_only:
         raise ValueError("short_only and long_only exclude each other")
     if long_only:
-        return verify_batch(items, make, True, explain)
-    first = verify_batch(items, make)
+        return store(verify_batch(items, make, True, explain), "pass")
+    first = store(verify_batch(items, make), "pass")
     if short_only:
         return first
     open_ = items.join(first.where(F.col("strategy") == NOT_FOUND).select(*KEYS).distinct(), KEYS, "left_semi")
-    second = verify_batch(open_, make, True, explain)
+    second = store(verify_batch(open_, make, True, explain), "pass")
     return first.join(second.select(*KEYS).distinct(), KEYS, "left_anti").unionByName(second)
 
 
@@ -152,7 +159,7 @@ def residual(trace: DataFrame, shard: int = 0, shards: int = 1, sample: int | No
     """Items still not found, of one shard of the accessions and, if asked for, a seeded sample of these."""
     rows = trace.where(F.col("strategy") == NOT_FOUND).where(shard_of(F.col("accession"), shards) == shard)
     if sample is not None:
-        chosen = rows.select("accession").distinct().orderBy(F.xxhash64(F.lit(seed), "accession"), "accession").limit(sample)
+        chosen = rows.select("accession").distinct().orderBy(order_key(seed, "accession"), "accession").limit(sample)
         rows = rows.join(chosen, "accession", "left_semi")
     return rows.select("accession", "run_name", "target_field", "target_value", negation_hint().alias("hint"))
 
@@ -177,16 +184,19 @@ def merge_stages(trace: DataFrame, stages: list[DataFrame]) -> DataFrame:
     """Overwrites open trace rows with the accepted rows of the model's stages.
 
     A key that two stages resolve, or one twice, raises: stages must be disjoint.
-    Rows that are found already stay, and no row is added or lost.
+    Rows that are found already stay, and no row is added or lost.  Without stages
+    the trace stays as it is.
     """
     fields = ["strategy", "raw_fields", "raw_texts", "raw_matched_phrase", "n_matches", "llm_pass"]
+    base = trace if "llm_pass" in trace.columns else trace.withColumn("llm_pass", F.lit(None).cast("string"))
+    if not stages:
+        return base
     union = None
     for k, stage in enumerate(stages):
         part = stage.where(F.col("strategy") == LLM).select(*KEYS, *fields, F.lit(k).alias("stage"))
         union = part if union is None else union.unionByName(part)
     clash = union.groupBy(*KEYS).agg(F.count("*").alias("n"), *[F.first(f).alias(f"{f}_llm") for f in fields])
     once = clash.where(F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("resolved more than once: "), F.concat_ws(" / ", *KEYS))).cast("boolean")).otherwise(True)).drop("n")
-    base = trace if "llm_pass" in trace.columns else trace.withColumn("llm_pass", F.lit(None).cast("string"))
     joined = base.join(once, KEYS, "left")
     update = (F.col("strategy") == NOT_FOUND) & F.col("strategy_llm").isNotNull()
     return joined.select(*[F.when(update, F.col(f"{c}_llm")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in base.columns])
@@ -211,3 +221,28 @@ def production(trace: DataFrame, entries: DataFrame, proposers: list[tuple[Calla
         items = residual(current).join(entries, "accession").withColumn("item_ord", F.xxhash64("target_field", "target_value"))
         current = merge_stages(current, [two_passes(items.dropDuplicates(KEYS), make, **options)])
     return current
+
+
+def time_boxed(items: DataFrame, path: str, make: Callable[[], Proposer], shards: int = 16, max_seconds: float | None = None, **options) -> DataFrame:
+    """Runs ``two_passes`` shard by shard until the time is up; returns the progress, one row a shard that this call did.
+
+    Shards go by a hash of the accession.  Each is written as a folder of its own
+    when it is done and passed over by later calls, so a run goes on where the last
+    one stopped.  Progress has shard, done, pending (shards), seconds and eta, the
+    seconds that the rest will take at this rate.
+    """
+    import time
+
+    spark = items.sparkSession
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    fs = jpath(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = lambda k: fs.exists(jpath(f"{path}/shard={k}/_SUCCESS"))
+    began, log = time.monotonic(), []
+    todo = [k for k in range(shards) if not there(k)]
+    for n, k in enumerate(todo):
+        if max_seconds is not None and time.monotonic() - began >= max_seconds:
+            break
+        two_passes(items.where(shard_of(F.col("accession"), shards) == k), make, **options).write.mode("overwrite").parquet(f"{path}/shard={k}")
+        spent = time.monotonic() - began
+        log.append((k, shards - len(todo) + n + 1, len(todo) - n - 1, spent, spent / (n + 1) * (len(todo) - n - 1)))
+    return spark.createDataFrame(log, "shard int, done int, pending int, seconds double, eta double")

@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import field_name, percent
 from ..schema import LLM, NOT_FOUND, STRATEGIES
+from ..scratch import store
+from .sampling import order_key
 
 # Attribute names, normalised, that hold free text.
-FREE_TEXT_FIELDS = ["title", "samplename", "sourcename", "comment", "submitterid", "studyname", "submittedsampleid", "biospecimenrepositorysampleid", "biospecimenrepository", "sample"]
-FREE_TEXT_FIELDS += ["sampledescription", "submitterhandle", "description", "name", "sampleid", "group", "id", "identifier", "label", "accession"]
+FREE_TEXT_FIELDS = [
+    "title", "samplename", "sourcename", "comment", "submitterid", "studyname", "submittedsampleid", "biospecimenrepositorysampleid",
+    "biospecimenrepository", "sample", "sampledescription", "submitterhandle", "description", "name", "sampleid", "group", "id", "identifier",
+    "label", "accession",
+]
 
 
 def count_if(condition: Column) -> Column:
@@ -58,8 +63,10 @@ def confusion(pairs: DataFrame, predicted: Column, actual: Column, *by: str) ->
 
 def value_counts(rows: DataFrame, column: str) -> DataFrame:
     """Counts of each value with their share of all rows, nulls left out."""
-    counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    return counts.withColumn("pct", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 2))
+    rows = rows.where(F.col(column).isNotNull())
+    total = rows.agg(F.count("*").alias("_total"))
+    counts = rows.groupBy(column).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))  # one row
+    return counts.select(column, "n", percent(F.col("n"), F.col("_total")).alias("pct"))
 
 
 def strategy_crosstab(trace: DataFrame, field: str = "target_field") -> DataFrame:
@@ -145,12 +152,20 @@ def normalized_field_counts(fields: DataFrame, column: str = "raw_field") -> Dat
 def concentration_curve(rows: DataFrame, column: str) -> DataFrame:
     """Cumulative share of the most frequent values; of equal counts the smaller name comes first.
 
-    The windows run over one row a distinct value.
+    The counts are dealt to ranges in this order and written; each range sums up by
+    itself and is moved by the totals of the ranges before, which are one row each.
     """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.desc("n"), F.asc(column))
-    out = counts.withColumn("n_fields", F.row_number().over(order)).withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return out.select(column, "n", "n_fields", F.round(100 * F.col("upto") / F.sum("n").over(Window.partitionBy()), 4).alias("cumulative_pct"))
+    ranged = store(counts.repartitionByRange(parts, F.desc("n"), F.asc(column)).withColumn("_p", F.spark_partition_id()), "counts")
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_p").agg(F.count("*").alias("_k"), F.sum("n").alias("_n"))
+    totals = totals.select("_p", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_rank"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_upto"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    order = Window.partitionBy("_p").orderBy(F.desc("n"), F.asc(column))
+    out = ranged.withColumn("_r", F.row_number().over(order)).withColumn("_s", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    out = out.join(F.broadcast(totals), "_p")  # one row a partition
+    return out.select(column, "n", (F.col("_rank") + F.col("_r")).cast("int").alias("n_fields"), F.round(100 * (F.col("_upto") + F.col("_s")) / F.col("_all"), 4).alias("cumulative_pct"))
 
 
 def rarefied(rows: DataFrame, group: str, unit: str, value: str) -> DataFrame:
@@ -172,22 +187,37 @@ def rarefied(rows: DataFrame, group: str, unit: str, value: str) -> DataFrame:
 
 
 def rarefied_by_sampling(rows: DataFrame, group: str, unit: str, value: str, n_iter: int = 20, seed: int = 1) -> DataFrame:
-    """Mean and population deviation of distinct values over seeded samples of k units."""
+    """(group, n_units, k, mean_values, std_values, n_iter): distinct values in seeded samples of k units, k the fewest units of any group.
+
+    A sample takes the units whose hash comes first.  Units are counted by the
+    first digits of their hash, and only those of the one bin in which the k-th lies
+    are ordered, so no task orders the units of a group.
+    """
     seen = rows.select(group, unit, value).dropna().distinct()
     units = seen.select(group, unit).distinct()
-    k = units.groupBy(group).count().agg(F.min("count").alias("k"))
-    draws = units.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_iter))).alias("draw"))
-    order = Window.partitionBy(group, "draw").orderBy(F.xxhash64(F.lit(seed), "draw", unit), unit)
-    chosen = draws.withColumn("r", F.row_number().over(order)).crossJoin(F.broadcast(k)).where("r <= k")  # one row
+    sizes = units.groupBy(group).agg(F.count("*").alias("n_units"))
+    sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.min("n_units").alias("k"))))  # one row
+    draws = units.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_iter))).alias("draw")).withColumn("key", order_key(seed, "draw", unit)).withColumn("bin", F.substring("key", 1, 3))
+    draws = store(draws, "draws")
+    run = Window.partitionBy(group, "draw").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bins = draws.groupBy(group, "draw", "bin").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(run)).join(sizes, group)
+    last = bins.where("upto >= k and upto - c < k").select(group, "draw", F.col("bin").alias("last"), (F.col("k") - F.col("upto") + F.col("c")).alias("left"))
+    near = draws.join(last, [group, "draw"])
+    inside = near.where("bin = last").withColumn("r", F.row_number().over(Window.partitionBy(group, "draw", "bin").orderBy("key", unit))).where("r <= left")
+    chosen = near.where("bin < last").select(group, unit, "draw").unionByName(inside.select(group, unit, "draw"))
     distinct = chosen.join(seen, [group, unit]).groupBy(group, "draw").agg(F.countDistinct(value).alias("d"))
-    return distinct.groupBy(group).agg(F.avg("d").alias("mean_values"), F.stddev_pop("d").alias("std_values"), F.count("*").alias("n_iter"))
+    out = distinct.groupBy(group).agg(F.avg("d").alias("mean_values"), F.stddev_pop("d").alias("std_values"), F.count("*").alias("n_iter"))
+    return sizes.join(out, group).select(group, "n_units", "k", "mean_values", "std_values", "n_iter")
 
 
-def first_per_strategy(trace: DataFrame, order: list[str], strategies: list[str] = STRATEGIES) -> DataFrame:
-    """The first row of each strategy, in the fixed order of strategies."""
+def first_per_strategy(trace: DataFrame, order: list[str], strategies: list[str] = STRATEGIES, curated: DataFrame | None = None) -> DataFrame:
+    """The first row of each strategy, in the fixed order of strategies, then the curated rows; columns that these lack are null."""
     place = F.array_position(F.array(*[F.lit(s) for s in strategies]), F.col("strategy"))
     ranked = trace.where(F.col("strategy").isin(strategies)).withColumn("_n", F.row_number().over(Window.partitionBy("strategy").orderBy(*order)))
-    return ranked.where("_n = 1").drop("_n").orderBy(place)
+    out = ranked.where("_n = 1").withColumn("_n", place)
+    if curated is not None:
+        out = out.unionByName(curated.withColumn("_n", F.lit(len(strategies) + 1).cast("long")), allowMissingColumns=True)
+    return out.orderBy("_n").drop("_n")
 
 
 def thin_labels(positions: DataFrame, at: str, gap: float = 6.0) -> DataFrame:

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def order_key(seed: int, *keys: str) -> Column:
+    """A hash of the seed and the keys, by which rows are shuffled."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).cast("binary"))
+
+
 def shuffled_head(rows: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
     """The first ``n`` rows in an order that depends on the seed and the keys only."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    return rows.orderBy(order_key(seed, *keys), *keys).limit(n)
+
+
+def pattern_counts(rows: DataFrame, pattern: list[str]) -> DataFrame:
+    """How often each pattern occurs."""
+    return rows.groupBy(*pattern).agg(F.count("*").alias("n_occurrences"))
 
 
 def sample_patterns(rows: DataFrame, pattern: list[str], occurrence: list[str], n: int, seed: int) -> DataFrame:
@@ -16,11 +26,11 @@ def sample_patterns(rows: DataFrame, pattern: list[str], occurrence: list[str],
 
     Raises if there are fewer patterns.
     """
-    counts = rows.groupBy(*pattern).agg(F.count("*").alias("n_occurrences"))
+    counts = pattern_counts(rows, pattern)
     if (have := counts.count()) < n:
         raise ValueError(f"{n} patterns wanted, {have} there")
     chosen = shuffled_head(counts, pattern, n, seed)
-    order = Window.partitionBy(*pattern).orderBy(F.xxhash64(F.lit(seed + 1), *occurrence), *occurrence)
+    order = Window.partitionBy(*pattern).orderBy(order_key(seed + 1, *occurrence), *occurrence)
     one = rows.join(F.broadcast(chosen), pattern).withColumn("_n", F.row_number().over(order)).where("_n = 1")
     return one.select(*pattern, *occurrence, "n_occurrences")
 

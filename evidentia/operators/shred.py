@@ -94,16 +94,26 @@ def category(dataset: Column, rules: list[tuple[str, str, str]] = CATEGORIES) ->
     return first, second
 
 
+def _line(e: Column) -> Column:
+    return F.concat(F.coalesce(e["name"], F.lit("")), F.lit(": "), F.coalesce(e["content"], F.lit("")))
+
+
 def attribute_lines(entries: Column) -> Column:
-    """``name: content`` lines of the entries that are not an attribute's own name."""
-    own = F.filter(entries, lambda e: F.coalesce(e["name"] != e["content"], F.lit(True)) & (F.coalesce(e["content"], F.lit("")) != ""))
-    return F.array_join(F.transform(own, lambda e: F.concat(F.coalesce(e["name"], F.lit("")), F.lit(": "), e["content"])), "\n")
+    """``name: content`` lines of attributes; the entry of an attribute's own name, which follows its content, is passed over."""
+
+    def step(done: Column, e: Column) -> Column:
+        own = done["name"].isNotNull() & e["name"].eqNullSafe(done["name"]) & e["content"].eqNullSafe(done["name"])
+        kept = F.struct(done["lines"].alias("lines"), F.lit(None).cast("string").alias("name"))
+        return F.when(own, kept).otherwise(F.struct(F.concat(done["lines"], F.array(_line(e))).alias("lines"), F.nullif(e["name"], F.lit("")).alias("name")))
+
+    none = F.struct(F.array().cast("array<string>").alias("lines"), F.lit(None).cast("string").alias("name"))
+    return F.array_join(F.aggregate(entries, none, step, lambda done: done["lines"]), "\n")
 
 
 def record_lines(attributes_: Column, secondary: Column) -> Column:
     """Attribute lines, then the other entries except title and comment, which are shown apart."""
-    rest = F.filter(secondary, lambda e: ~e["name"].isin("title", "comment"))
-    return F.array_join(F.filter(F.array(attribute_lines(attributes_), attribute_lines(rest)), lambda x: x != ""), "\n")
+    rest = F.array_join(F.transform(F.filter(secondary, lambda e: ~F.coalesce(e["name"].isin("title", "comment"), F.lit(False))), _line), "\n")
+    return F.array_join(F.filter(F.array(attribute_lines(attributes_), rest), lambda x: x != ""), "\n")
 
 
 def item_line(index: Column, field: Column, value: Column, hint: Column) -> Column:

@@ -13,7 +13,9 @@ from ..functions import kernels
 from ..functions import text as T
 from ..operators import cascade, evidence, reports, sampling, shred
 from ..schema import LLM, NOT_FOUND, STRATEGIES
+from ..scratch import folder
 from ..sources import ontology, records
+from ..streaming.incremental import append_new, process_new_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,21 +33,33 @@ def no_entries() -> Column:
 # --- tracing ------------------------------------------------------------------
 
 
-def phrases(benchmark: DataFrame, n: int = 6) -> DataFrame:
-    words = F.slice(F.split(F.regexp_replace("text", r"\s+", " "), " "), 1, n)
-    return benchmark.select("item_id", F.array_join(words, " ").alias("phrase"))
+def phrases(benchmark: DataFrame) -> DataFrame:
+    """Whole benchmark texts, and their halves, as phrases to be traced."""
+    words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    half = F.ceil(F.size(words) / 2).cast("int")
+    parts = F.array(words, F.slice(words, F.lit(1), F.greatest(half, F.lit(1))), F.slice(words, half + 1, F.size(words)))
+    each = benchmark.select("item_id", F.posexplode(F.transform(parts, lambda w: F.array_join(w, " "))).alias("part", "phrase"))
+    return each.where("phrase <> ''")
 
 
 def phrase_candidates(docs: DataFrame, values: DataFrame) -> DataFrame:
-    """Pairs (doc_id, text, item_id, phrase) whose first three word tokens occur in a row in the text.
+    """Pairs (docs, values) whose phrase's first words, three or all if it has fewer, occur in a row in the text.
 
-    A phrase with word boundaries on both sides shares them, so no pair is lost;
-    the windows meet the values in a hash join instead of a cross join.
+    A phrase with word boundaries on both sides shares them, so no pair is lost
+    (a phrase without any word is in no pair); the windows of each length that occurs
+    meet the values in a hash join instead of a cross join.
     """
-    three = lambda w: F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.slice(w, i, 3)))).otherwise(F.array().cast("array<bigint>"))
-    keyed = values.withColumn("w", T.tokens(F.lower("phrase"))).select("item_id", "phrase", F.xxhash64(F.slice("w", 1, 3)).alias("k"))
-    windows = docs.select("doc_id", T.tokens(F.lower("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(three(F.col("w")))).alias("k"))
-    pairs = windows.join(keyed, "k").select("doc_id", "item_id", "phrase").distinct()
+    keyed = values.withColumn("w", T.tokens(F.lower("phrase"))).withColumn("n", F.least(F.size("w"), F.lit(3))).where("n > 0")
+    keyed = keyed.withColumn("k", F.xxhash64(F.slice("w", F.lit(1), F.col("n"))))
+    lengths = sorted(r["n"] for r in keyed.select("n").distinct().collect())  # of 1, 2 and 3
+
+    def windows(w: Column, n: int) -> Column:
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, n)))
+
+    named = docs.select("doc_id", T.tokens(F.lower("text")).alias("w"))
+    hashes = F.array_distinct(F.concat(F.array().cast("array<bigint>"), *[windows(F.col("w"), n) for n in lengths]))
+    pairs = named.select("doc_id", F.explode(hashes).alias("k")).join(keyed.drop("w", "n"), "k").drop("k").distinct()
     return docs.join(pairs, "doc_id")
 
 
@@ -54,7 +68,7 @@ def traced_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = phrase_candidates(docs, phrases(table(spark, sf_dir, "benchmark")))
     exact, loose = T.find_word(F.col("text"), F.col("phrase")), T.find_word(F.lower("text"), F.lower("phrase"))
     found = pairs.withColumn("e", exact).withColumn("c", F.when(F.col("e").isNull(), loose)).where("e is not null or c is not null")
-    return found.select("doc_id", "item_id", "lang", F.when(F.col("e").isNotNull(), STRATEGIES[0]).otherwise(STRATEGIES[1]).alias("strategy"))
+    return found.select("doc_id", "item_id", "part", "lang", F.when(F.col("e").isNotNull(), STRATEGIES[0]).otherwise(STRATEGIES[1]).alias("strategy"))
 
 
 def trace_exact_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,9 +76,16 @@ def trace_exact_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PHRASES_SQL = r"""
-with p as (select item_id, array_to_string(list_slice(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), 1, 6), ' ') as phrase from benchmark),
+with w as (select item_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') as x from benchmark),
+h as (select item_id, x, ceil(len(x) / 2)::int as half from w),
+p as (
+  select * from (
+    select item_id, 0 as part, array_to_string(x, ' ') as phrase from h
+    union all select item_id, 1, array_to_string(list_slice(x, 1, greatest(half, 1)), ' ') from h
+    union all select item_id, 2, array_to_string(list_slice(x, half + 1, len(x)), ' ') from h)
+  where phrase <> ''),
 hit as (
-  select d.doc_id, p.item_id, d.lang,
+  select d.doc_id, p.item_id, p.part, d.lang,
          case when regexp_matches(d.text, '(^|[^\p{L}\p{N}])' || regexp_escape(p.phrase) || '($|[^\p{L}\p{N}])') then 'exact' else 'case-insensitive' end as strategy
   from documents d join p on contains(lower(d.text), lower(p.phrase))
   where regexp_matches(lower(d.text), '(^|[^\p{L}\p{N}])' || regexp_escape(lower(p.phrase)) || '($|[^\p{L}\p{N}])'))
@@ -253,18 +274,18 @@ ACCESSION_SCAN_SQL = "select count(distinct c_custkey) as n, min('A' || c_custke
 
 
 def value_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the first line of each document as a list value, its source as a scalar one."""
+    """All words of each document as a list value, its source as a scalar one."""
     docs = table(spark, sf_dir, "documents")
-    words = F.to_json(F.slice(F.split(F.regexp_replace("text", r"[^A-Za-z ]", ""), " "), 1, 5))
+    words = F.to_json(F.split(F.regexp_replace("text", r"[^A-Za-z ]", ""), " "))
     extracted = F.create_map(F.lit("words"), words, F.lit("source"), F.col("source"), F.lit("none"), F.lit(None).cast("string"))
     out = cascade.explode_values(docs.select("doc_id", extracted.alias("extracted")))
-    return out.select("doc_id", "target_field", "target_value")
+    return out.groupBy("doc_id", "target_field", "target_value").agg(F.count("*").alias("n"))
 
 
 VALUE_EXPLODE_SQL = """
-with w as (select doc_id, source, list_slice(string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' '), 1, 5) as x from documents),
+with w as (select doc_id, source, string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' ') as x from documents),
 u as (select doc_id, 'words' as target_field, unnest(x) as target_value from w union all select doc_id, 'source', source from documents)
-select * from u where target_value <> ''
+select doc_id, target_field, target_value, count(*) as n from u where target_value <> '' group by all
 """
 
 TAG = r"<title>([^<]*)</title>"
@@ -327,7 +348,7 @@ def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 COVERAGE_SQL = LINE_SQL + """
 select target_field, count(*) as total, count(*) filter (where strategy <> 'not found') as resolved, count(*) filter (where strategy = 'not found') as residual,
-       round(100.0::double * count(*) filter (where strategy <> 'not found') / count(*), 2) as pct_resolved
+       round_even(100.0::double * count(*) filter (where strategy <> 'not found') / count(*), 2) as pct_resolved
 from t group by target_field
 """
 
@@ -337,7 +358,7 @@ def negated_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NEGATED_SQL = LINE_SQL + """
-select target_field, count(*) filter (where row_negated) as n_negated, count(*) as n_residual, round(100.0::double * count(*) filter (where row_negated) / count(*), 2) as pct_negated
+select target_field, count(*) filter (where row_negated) as n_negated, count(*) as n_residual, round_even(100.0::double * count(*) filter (where row_negated) / count(*), 2) as pct_negated
 from t where strategy = 'not found' group by target_field
 """
 
@@ -350,7 +371,7 @@ def _cells(template: str) -> str:
     return ", ".join(template.format(s=s) for s in [*STRATEGIES, LLM, NOT_FOUND])
 
 
-CROSSTAB_SQL = LINE_SQL + "select target_field, " + _cells("count(*) filter (where strategy = '{s}') as \"{s}\"") + ", count(*) as total, round(100.0::double * count(*) filter (where strategy <> 'not found') / count(*), 2) as pct_found from t group by target_field"
+CROSSTAB_SQL = LINE_SQL + "select target_field, " + _cells("count(*) filter (where strategy = '{s}') as \"{s}\"") + ", count(*) as total, round_even(100.0::double * count(*) filter (where strategy <> 'not found') / count(*), 2) as pct_found from t group by target_field"
 
 
 def strategy_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,9 +379,9 @@ def strategy_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BUCKETS_SQL = LINE_SQL + """
-select target_field, round(100.0::double * count(*) filter (where strategy in ('exact', 'case-insensitive')) / count(*), 2) as pct_verbatim,
-       round(100.0::double * count(*) filter (where strategy in ('normalized', 'bag of words', 'fuzzy')) / count(*), 2) as pct_tolerant,
-       round(100.0::double * count(*) filter (where strategy = 'ontology synonym') / count(*), 2) as pct_ontology, 0.0::double as pct_model
+select target_field, round_even(100.0::double * count(*) filter (where strategy in ('exact', 'case-insensitive')) / count(*), 2) as pct_verbatim,
+       round_even(100.0::double * count(*) filter (where strategy in ('normalized', 'bag of words', 'fuzzy')) / count(*), 2) as pct_tolerant,
+       round_even(100.0::double * count(*) filter (where strategy = 'ontology synonym') / count(*), 2) as pct_ontology, 0.0::double as pct_model
 from t group by target_field
 """
 
@@ -371,7 +392,7 @@ def pooled_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 POOLED_SQL = LINE_SQL + """
 , s as (select unnest(['exact', 'case-insensitive', 'normalized', 'bag of words', 'fuzzy', 'ontology synonym', 'llm', 'not found']) as strategy)
-select s.strategy, count(t.strategy) as n, round(100.0::double * count(t.strategy) / (select count(*) from t), 2) as pct
+select s.strategy, count(t.strategy) as n, round_even(100.0::double * count(t.strategy) / (select count(*) from t), 2) as pct
 from s left join t on s.strategy = t.strategy group by s.strategy
 """
 
@@ -381,7 +402,7 @@ def multi_match_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MULTI_SQL = LINE_SQL + """
-select count(*) as n_found, count(*) filter (where n_matches > 1) as n_multi, round(100.0::double * count(*) filter (where n_matches > 1) / count(*), 2) as pct_multi
+select count(*) as n_found, count(*) filter (where n_matches > 1) as n_multi, round_even(100.0::double * count(*) filter (where n_matches > 1) / count(*), 2) as pct_multi
 from t where strategy <> 'not found'
 """
 
@@ -431,7 +452,7 @@ def gap_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.value_counts(table(spark, sf_dir, "orders"), "o_orderpriority")
 
 
-GAP_SQL = "select o_orderpriority, count(*) as n, round(100 * count(*) / sum(count(*)) over (), 2) as pct from orders where o_orderpriority is not null group by 1"
+GAP_SQL = "select o_orderpriority, count(*) as n, round_even(100.0::double * count(*) / sum(count(*)) over (), 2) as pct from orders where o_orderpriority is not null group by 1"
 
 
 def explode_raw_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -483,7 +504,20 @@ from v join u using (year) cross join k group by v.year
 
 
 def rarefaction_mc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.rarefied_by_sampling(customer_years(spark, sf_dir), "year", "o_custkey", "l_partkey", n_iter=10)
+    out = reports.rarefied_by_sampling(customer_years(spark, sf_dir), "year", "o_custkey", "l_partkey", n_iter=10)
+    return out.withColumn("mean_values", F.round("mean_values", 6)).withColumn("std_values", F.round("std_values", 6))
+
+
+RAREFACTION_MC_SQL = """
+with s as (select distinct year(o_orderdate)::int as year, o_custkey, l_partkey from orders join lineitem on o_orderkey = l_orderkey),
+u as (select distinct year, o_custkey from s),
+n as (select year, count(*) as n_units from u group by 1),
+k as (select min(n_units) as k from n),
+d as (select year, o_custkey, unnest(range(1, 11)) as draw from u),
+r as (select *, row_number() over (partition by year, draw order by md5('1:' || draw || ':' || o_custkey), o_custkey) as r from d),
+c as (select r.year, r.draw, count(distinct s.l_partkey) as v from r join s on s.year = r.year and s.o_custkey = r.o_custkey where r.r <= (select k from k) group by 1, 2)
+select c.year, any_value(n_units) as n_units, (select k from k) as k, round(avg(v), 6) as mean_values, round(stddev_pop(v), 6) as std_values, count(*) as n_iter from c join n on n.year = c.year group by c.year
+"""
 
 
 def sample_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -491,11 +525,31 @@ def sample_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sample_patterns(rows, ["target_field", "strategy"], ["accession"], 12, 7)
 
 
+SAMPLE_SQL = LINE_SQL + """
+, p as (select target_field, strategy, count(*) as n_occurrences from t group by 1, 2),
+c as (select * from p order by md5('7:' || target_field || ':' || strategy), target_field, strategy limit 12)
+select c.target_field, c.strategy, t.accession, c.n_occurrences
+from t join c on t.target_field = c.target_field and t.strategy = c.strategy
+qualify row_number() over (partition by c.target_field, c.strategy order by md5('8:' || t.accession), t.accession) = 1
+"""
+
+
 def shard_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lineitem_trace(spark, sf_dir).withColumn("run_name", F.lit("r")).withColumn("raw_fields", F.array(F.lit("f"))).withColumn("raw_matched_phrase", F.array("target_value"))
     return evidence.residual(rows, shard=1, shards=4).groupBy("target_field").agg(F.count("*").alias("n"), F.count("hint").alias("n_hints"))
 
 
+# CRC-32, a byte at a time, eight steps a byte
+SHARD_SQL = LINE_SQL + """
+, a as (select distinct accession from t where strategy = 'not found'),
+s as (
+  select accession, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(accession, ''), lambda x: ascii(x)::bigint)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 4 as shard from a)
+select target_field, count(*) as n, count(*) filter (where row_negated) as n_hints
+from t join s on t.accession = s.accession where strategy = 'not found' and shard = 1 group by 1
+"""
+
+
 # --- evidence -----------------------------------------------------------------------
 
 
@@ -540,17 +594,17 @@ def quoted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     pairs = phrase_candidates(docs, phrases(table(spark, sf_dir, "benchmark")))
     quotes = F.when(F.col("item_id") % 3 == 0, F.array("phrase", F.lit("made-up quote"))).otherwise(F.array("phrase"))
-    return pairs.select(F.col("doc_id").cast("string").alias("accession"), F.col("item_id").cast("string").alias("target_value"), quotes.alias("quotes"), F.array(entry(F.lit("source"), F.col("source"))).alias("attributes"), F.array(entry(F.lit("title"), F.lit("-")), entry(F.lit("body"), F.col("text"))).alias("secondary"))
+    return pairs.select(F.col("doc_id").cast("string").alias("accession"), F.concat_ws(".", "item_id", "part").alias("target_value"), "phrase", quotes.alias("quotes"), F.array(entry(F.lit("source"), F.col("source"))).alias("attributes"), F.array(entry(F.lit("title"), F.lit("-")), entry(F.lit("body"), F.col("text"))).alias("secondary"))
 
 
 def ground_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = quoted_items(spark, sf_dir).withColumn("found", F.lit(True)).withColumn("explanation", F.lit(None).cast("string"))
-    out = evidence.judged(items, full_record=True).where("n_matches > 0")
+    out = evidence.judged(items, full_record=True).where(F.lower(F.get("raw_matched_phrase", F.lit(0))) == F.lower("phrase"))  # not those that normalising found
     return out.select("accession", "target_value", "strategy", "n_matches", F.size("llm_ungrounded_quotes").alias("n_ungrounded"))
 
 
 GROUND_SQL = PHRASES_SQL + """
-select doc_id::varchar as accession, item_id::varchar as target_value, case when item_id % 3 = 0 then 'not found' else 'llm' end as strategy, 1 as n_matches, case when item_id % 3 = 0 then 1 else 0 end as n_ungrounded from hit
+select doc_id::varchar as accession, item_id || '.' || part as target_value, case when item_id % 3 = 0 then 'not found' else 'llm' end as strategy, 1 as n_matches, case when item_id % 3 = 0 then 1 else 0 end as n_ungrounded from hit
 """
 
 
@@ -629,13 +683,7 @@ CHUNK_SQL = "select (item_id // 20)::int as chunk, count(*) as n_cases, count(*)
 
 def incremental_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events fed as files to a resumable stream that appends unseen keys; run twice, the state is the same."""
-    import tempfile
-    import uuid
-
-    from ..streaming.incremental import append_new, process_new_files
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evidentia-stream-")
-    top = f"{base}/stream-{uuid.uuid4().hex[:12]}"
+    top = folder(spark, "stream")
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
     events.repartition(4).write.parquet(f"{top}/in")
     for _ in range(2):
@@ -683,6 +731,9 @@ ORACLE = {
     "explode_raw_fields": RAW_FIELDS_SQL,
     "concentration_curve": CONCENTRATION_SQL,
     "rarefaction_exact": RAREFACTION_SQL,
+    "rarefaction_mc": RAREFACTION_MC_SQL,
+    "sample_patterns": SAMPLE_SQL,
+    "shard_filter": SHARD_SQL,
     "merge_llm_stage": MERGE_SQL,
     "residual_merge": RESIDUAL_MERGE_SQL,
     "ground_quotes": GROUND_SQL,

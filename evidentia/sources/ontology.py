@@ -19,8 +19,9 @@ RELATED = r"hasRelatedSynonym>([^<]*)</"
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, line, value), numbered inside each file."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    """(file, line, value), numbered inside each file; ``file`` is its name without the folders."""
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    whole = spark.read.text(path, wholetext=True).select(name.alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     return whole
 
 

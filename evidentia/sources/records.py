@@ -16,11 +16,9 @@ RESULT = "struct<entries:array<struct<extract:struct<accession:string,extracted:
 
 
 def accession(raw: Column) -> Column:
-    """The record's own top-level accession if it is a JSON string, else null."""
-    value = F.get_json_object(raw, "$.accession")
-    text = F.from_json(raw, "map<string,string>")["accession"]
-    quoted = raw.rlike(r'"accession"\s*:\s*"')
-    return F.when(quoted, F.coalesce(value, text))
+    """The record's own top-level accession if it is a JSON string, else null; a line that is no JSON raises."""
+    value = F.from_json(raw, "struct<accession:variant>", {"mode": "FAILFAST"})["accession"]
+    return F.when(F.schema_of_variant(value) == "STRING", value.cast("string"))
 
 
 def unwrapped(raw: Column) -> Column:
@@ -31,8 +29,7 @@ def unwrapped(raw: Column) -> Column:
 def read_records(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
     """(file, rec_ord, accession, raw) of each nonblank line of JSON-lines files.
 
-    ``rec_ord`` orders lines inside a file.  A malformed line raises when it is
-    parsed.  With ``recursive`` all ``*.jsonl`` files below the path are read.
+    ``rec_ord`` orders lines inside a file.  A malformed line raises.  With ``recursive`` all ``*.jsonl`` files below the path are read.
     """
     reader = spark.read.option("recursiveFileLookup", recursive)
     if recursive:
@@ -105,13 +102,18 @@ def read_verdicts(spark: SparkSession, path: str | list[str], expected: int) ->
     return rows.orderBy("case_index")
 
 
-def read_model_results(spark: SparkSession, paths: dict[str, str], schema: str) -> DataFrame:
-    """Union of model outputs, each tagged with its model's name."""
-    out = None
-    for model, path in sorted(paths.items()):
-        rows = spark.read.schema(schema).json(path).withColumn("model", F.lit(model))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def read_model_results(spark: SparkSession, path: str, schema: str, meta: str = "model string") -> DataFrame:
+    """Rows of the JSON-lines files of a folder, each with the columns of its file's own ``.meta.json`` beside it.
+
+    A file without one raises.
+    """
+    name = lambda ending: F.regexp_replace(F.col("_metadata.file_name"), ending, "").alias("_file")
+    reader = lambda kind: spark.read.option("pathGlobFilter", kind)
+    rows = reader("*.jsonl").schema(schema).option("mode", "FAILFAST").json(path).select("*", name(r"\.jsonl$"))
+    about = reader("*.meta.json").schema(meta).option("multiLine", True).json(path).select("*", name(r"\.meta\.json$"), F.lit(True).alias("_there"))
+    joined = rows.join(about, "_file", "left")
+    known = F.when(F.col("_there"), True).otherwise(F.raise_error(F.concat(F.lit("no metadata beside "), "_file")).cast("boolean"))
+    return joined.where(known).drop("_file", "_there")
 
 
 def pending(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -152,6 +154,11 @@ def write_manifest(spark: SparkSession, path: str, **settings) -> None:
     one.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    """A one-row report as one JSON object."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
 def chunks(cases: DataFrame, size: int, index: str = "case_index") -> DataFrame:
     """(chunk, n_cases, cases): fixed-size chunks of cases in order, as JSON text."""
     rows = cases.withColumn("chunk", F.floor(F.col(index) / size).cast("int"))

@@ -3,7 +3,7 @@
 import pytest
 from tests.oracle import compare
 
-from evidentia.plans.queries import ORACLE, QUERIES
+from evidentia.plans.catalogue import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
