@@ -24,17 +24,19 @@ def join_counted(rows: DataFrame, per_key: DataFrame, key: str, total: int, coun
     others are shuffled, and no task gets more than the hot limit for one key.
     """
     hot = F.col(count) > max(HOT_ROWS, total // HOT_SHARE)
-    names = [c for c in per_key.columns if c != key]
-    many = F.broadcast(per_key.where(hot))
-    few = per_key.where(~hot)
-    cold = rows.join(F.broadcast(per_key.where(hot).select(key)), key, "left_anti").join(few.hint("shuffle_hash"), key)
-    return rows.join(many, key).select(*rows.columns, *names).unionByName(cold.select(*rows.columns, *names))
+    names = [*rows.columns, *[c for c in per_key.columns if c != key]]
+    few = rows.join(per_key.where(~hot).hint("shuffle_hash"), key).select(*names)
+    if per_key.where(hot).isEmpty():
+        return few
+    many = per_key.where(hot)
+    cold = rows.join(F.broadcast(many.select(key)), key, "left_anti").join(per_key.where(~hot).hint("shuffle_hash"), key)
+    return rows.join(F.broadcast(many), key).select(*names).unionByName(cold.select(*names))
 
 
 def _hang(pairs: DataFrame, total: int) -> DataFrame:
-    """Every (u, v) becomes (v, least of u and all its v)."""
+    """Every (u, v) becomes (v, least of u and all its v); ``pairs`` is a written table."""
     least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
-    return join_counted(pairs, least, "u", total).select("u", "v", "m")
+    return join_counted(pairs, store(least, "least"), "u", total).select("u", "v", "m")
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -48,12 +50,13 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = store(clean.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     state, total = None, edges.count()
     for _ in range(max_rounds):
-        both = edges.where("u <> v").union(edges.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ends = F.array(F.struct(F.col("u").alias("u"), F.col("v").alias("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.where("u <> v").select(F.explode(ends).alias("e")).select("e.*")
         large = _hang(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(edges.where("u = v"))
-        hung = _hang(large, 2 * total)
-        small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).union(hung.select("u", F.col("m").alias("v"))).distinct()
-        edges = store(small, "links")
+        large = store(large.union(edges.where("u = v")), "links")
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))
+        small = _hang(large, 2 * total).select(F.explode(ends).alias("e")).select("e.*")
+        edges = store(small.distinct(), "links")
         row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == state:
             break

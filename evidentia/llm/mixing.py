@@ -6,12 +6,15 @@ among the others by weight until none is above its cap.  A source then takes
 whole repetitions of all its rows and, for the fraction that is left, the rows
 that come first in a seeded hash order.
 
-Scale: the hash order is cut by two levels of sums (4096 buckets a source, then
-the rows of the one bucket in which the cut falls), so no task orders a source.
+Scale: the hash order is cut by two levels of sums (buckets by the first digits
+of the hash, as many as keep ``BUCKET_ROWS`` rows in one, then the rows of the one
+bucket in which the cut falls), so no task orders a source.
 """
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ from .storage import store
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SEED = 7
+#: Rows of a bucket, about.
+BUCKET_ROWS = 50_000
 
 
 def n_words(text: str = "text") -> Column:
@@ -51,17 +56,17 @@ def fill(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     return level.select("source", "source_size", target.alias("target"))
 
 
-def _cuts(sized: DataFrame, plan: DataFrame) -> DataFrame:
+def _cuts(sized: DataFrame, plan: DataFrame, digits: int) -> DataFrame:
     """Adds per source: whole repetitions, and the bucket and key up to which one more is taken."""
     same = F.col("source").eqNullSafe(F.col("s_source"))
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = plan.withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
-    sums = sized.groupBy(F.col("source").alias("s_source"), F.substring("key", 1, 3).alias("bucket")).agg(F.sum("size").alias("size"))
+    sums = sized.groupBy(F.col("source").alias("s_source"), F.substring("key", 1, digits).alias("bucket")).agg(F.sum("size").alias("size"))
     run = Window.partitionBy("s_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.withColumn("upto", F.sum("size").over(run)).join(plan.select("source", "part"), same)
     at = sums.where("upto > part and part > 0").groupBy("source", "part").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("size")).alias("base"))).alias("c"))
     at = at.select(F.col("source").alias("s_source"), "part", "c.bucket", "c.base")
-    near = sized.withColumn("bucket", F.substring("key", 1, 3)).join(at.withColumnRenamed("bucket", "c_bucket"), same & (F.col("bucket") == F.col("c_bucket")))
+    near = sized.withColumn("bucket", F.substring("key", 1, digits)).join(at.withColumnRenamed("bucket", "c_bucket"), same & (F.col("bucket") == F.col("c_bucket")))
     run = Window.partitionBy("s_source").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = near.withColumn("mid", F.col("base") + F.sum("size").over(run) - F.col("size") / 2).where("mid <= part")
     keys = near.groupBy("s_source").agg(F.max("key").alias("last"))
@@ -73,11 +78,12 @@ def _mixed(docs: DataFrame, weights: tuple[int, ...], max_epochs: int, seed: int
     """(row, size, source_size, target, copies), ``row`` holding the columns of ``docs``."""
     sized = store(docs.select("source", order_key(seed), n_words().alias("size")), "sizes")
     plan = fill(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_epochs)
-    plan = store(_cuts(sized, store(plan, "targets")), "cuts")
+    digits = max(3, ceil(log(max(1, sized.count() / BUCKET_ROWS), 16)))
+    plan = store(_cuts(sized, store(plan, "targets"), digits), "cuts")
     plan = plan.select(F.col("source").alias("s"), "source_size", "target", "whole", "bucket", "last")
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), n_words().alias("size"), order_key(seed))
     out = out.join(plan, F.col("row.source").eqNullSafe(F.col("s")))
-    head = F.substring("key", 1, 3)
+    head = F.substring("key", 1, digits)
     more = F.coalesce((head < F.col("bucket")) | ((head == F.col("bucket")) & F.coalesce(F.col("key") <= F.col("last"), F.lit(False))), F.lit(False))
     return out.select("row", "size", "source_size", "target", (F.col("whole") + more.cast("long")).cast("long").alias("copies"))
 

@@ -5,10 +5,12 @@ text.  A binary search finds the smallest shard capacity for which a greedy pass
 over the ordered group sizes needs no more than the wanted number of shards, and
 the sequence is cut there.
 
-The driver never sees all groups: it holds byte totals of at most 2**16 blocks
-of consecutive groups, and the sizes inside a block are fetched only where a
-greedy cut falls into it.  A cut is a digest, so rows are assigned by comparing
-their own digest with at most ``shards - 1`` constants, without a join.
+The driver never sees all groups.  It holds byte totals of at most 2**16 runs of
+groups, those whose digests share their first digits; where a greedy cut falls
+into a run, the totals of the runs inside it are fetched, level by level, and at
+last the sizes of at most ``BLOCK_GROUPS`` groups.  A few hundred such levels are
+kept.  A cut is a digest or the first digits of one, so rows are assigned by
+comparing their own digest with at most ``shards - 1`` constants, without a join.
 """
 
 from __future__ import annotations
@@ -21,9 +23,12 @@ from pyspark.sql import functions as F
 
 from .storage import store
 
-#: Groups in a block, as long as there are few enough blocks for the driver.
+#: Groups whose sizes are fetched together; a larger run is fetched as totals.
 BLOCK_GROUPS = 20_000
-MAX_BLOCK_BITS = 16
+#: Digits by which the whole sequence and a run inside it are divided, at most.
+FIRST_DIGITS, MORE_DIGITS = 4, 3
+#: Levels that the driver keeps.
+KEPT = 256
 #: Rows that one task numbers.
 SLOT_ROWS = 50_000
 
@@ -57,6 +62,47 @@ class ShardPlan:
         return out.cast("int")
 
 
+class _Totals:
+    """Byte offsets of groups in digest order, fetched where they are asked for."""
+
+    def __init__(self, groups: DataFrame, n_groups: int):
+        self.groups = groups
+        self.kept: dict[str, tuple[np.ndarray, list[str], list[int] | None]] = {}
+        digits = next((d for d in range(FIRST_DIGITS) if n_groups <= BLOCK_GROUPS * 16**d), FIRST_DIGITS)
+        self.root = self.runs("", digits) if digits else self.members("")
+
+    def runs(self, prefix: str, digits: int) -> tuple[np.ndarray, list[str], list[int] | None]:
+        rows = self.groups.where(F.col("digest").startswith(prefix)).groupBy(F.substring("digest", 1, len(prefix) + digits).alias("name")).agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+        rows.sort(key=lambda r: r["name"])
+        return np.cumsum([r["size"] for r in rows]), [r["name"] for r in rows], [r["n"] for r in rows]
+
+    def members(self, prefix: str) -> tuple[np.ndarray, list[str], list[int] | None]:
+        rows = sorted((r["digest"], r["size"]) for r in self.groups.where(F.col("digest").startswith(prefix)).select("digest", "size").collect())
+        return np.cumsum([s for _, s in rows]), [d for d, _ in rows], None
+
+    def level(self, prefix: str, n: int) -> tuple[np.ndarray, list[str], list[int] | None]:
+        if prefix not in self.kept:
+            if len(self.kept) >= KEPT:
+                self.kept.clear()
+            self.kept[prefix] = self.members(prefix) if n <= BLOCK_GROUPS else self.runs(prefix, MORE_DIGITS)
+        return self.kept[prefix]
+
+    def cut(self, limit: int) -> tuple[int, str]:
+        """The largest offset up to ``limit`` at which a group ends, and a digest (or its first digits) between that group and the next."""
+        base, level = 0, self.root
+        while True:
+            ends, names, counts = level
+            k = int(np.searchsorted(ends, limit - base, "right"))
+            if k == len(names):
+                raise ValueError("the limit lies behind the last group")
+            before = base + (int(ends[k - 1]) if k else 0)
+            if counts is None:
+                return before, names[k - 1] if k else names[0][:-1]
+            if before == limit:
+                return before, names[k]  # all of this run come behind its first digits
+            base, level = before, self.level(names[k], counts[k])
+
+
 def plan_shards(sized: DataFrame, shards: int) -> ShardPlan:
     """Cuts rows (digest, size) into ``shards`` contiguous runs of groups with the least possible maximum.
 
@@ -64,26 +110,12 @@ def plan_shards(sized: DataFrame, shards: int) -> ShardPlan:
     """
     spark = sized.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = sized.count()
-    bits = min(MAX_BLOCK_BITS, max(0, int(np.ceil(np.log2(max(1, rows / BLOCK_GROUPS))))))
-    block = F.shiftright(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), 32 - bits)
     groups = sized.groupBy("digest").agg(F.sum("size").alias("size"))
-    groups = store(groups.repartitionByRange(parts, "digest").sortWithinPartitions("digest").withColumn("block", block), "groups")
-    table = groups.groupBy("block").agg(F.sum("size").alias("size"), F.max("size").alias("top")).orderBy("block").collect()
-    if not table:
+    groups = store(groups.repartitionByRange(parts, "digest").sortWithinPartitions("digest"), "groups")
+    n, total, top = groups.agg(F.count("*"), F.sum("size"), F.max("size")).first()
+    if not n:
         return ShardPlan(shards, 0, ())
-    names = [r["block"] for r in table]
-    ends = np.cumsum([r["size"] for r in table])
-    starts = np.concatenate([[0], ends[:-1]])
-    total, top = int(ends[-1]), max(r["top"] for r in table)
-    inside: dict[int, tuple[np.ndarray, list[str]]] = {}
-
-    def fetch(b: int) -> tuple[np.ndarray, list[str]]:
-        """Byte offset after each group of a block, and the groups' digests."""
-        if b not in inside:
-            got = sorted((r["digest"], r["size"]) for r in groups.where(F.col("block") == names[b]).select("digest", "size").collect())
-            inside[b] = (starts[b] + np.cumsum([s for _, s in got]), [d for d, _ in got])
-        return inside[b]
+    totals = _Totals(groups, n)
 
     def greedy(capacity: int) -> list[str] | None:
         """Cuts with this capacity, or None if it is too small."""
@@ -91,17 +123,12 @@ def plan_shards(sized: DataFrame, shards: int) -> ShardPlan:
         for _ in range(shards):
             if at + capacity >= total:
                 return cuts
-            b = int(np.searchsorted(ends, at + capacity, "right"))
-            offsets, digests = fetch(b)
-            k = int(np.searchsorted(offsets, at + capacity, "right")) - 1
-            if k < 0:  # the block starts a shard; the last group before it ends one
-                offsets, digests = fetch(b - 1) if b else (np.array([0]), [""])
-                k = len(offsets) - 1
-            if offsets[k] <= at:
+            end, name = totals.cut(at + capacity)
+            if end <= at:
                 return None
-            at = int(offsets[k])
-            cuts.append(digests[k])
-        return cuts if at == total else None
+            at = end
+            cuts.append(name)
+        return None
 
     low, high = max(top, -(-total // shards)), -(-total // shards) + top
     while low < high:
@@ -120,7 +147,7 @@ def number_slots(rows: DataFrame, by: str = "shard", order: tuple[str, ...] = ("
     their bucket and moved by the counts of the buckets before, so no task
     numbers a whole shard.
     """
-    k = max(1, min(4096, rows.count() // SLOT_ROWS + 1))
+    k = rows.count() // SLOT_ROWS + 1
     rows = rows.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(k)))
     before = Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy(by, "_b").count().select(by, "_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
@@ -144,7 +171,13 @@ def shard_table(docs: DataFrame, shards: int = 8) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """``docs`` with a column ``shard`` added (replacing one of that name)."""
+    """``docs`` with a column ``shard`` added (replacing one of that name).
+
+    Equal texts share a shard; a null text counts as an empty one, a very long one
+    is a group like any other.  Ids and other columns are not looked at, so they may
+    be null, repeat or have any name; repeated rows share a shard.  An empty table
+    gives an empty result.
+    """
     sized = store(docs.select(row_size().alias("size"), digest().alias("digest")), "sized")
     plan = plan_shards(sized, shards)
     return docs.withColumn("shard", plan.shard(digest()))

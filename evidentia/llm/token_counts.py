@@ -9,12 +9,14 @@ piece covers may also be taken as unknown, at ten below the least score, and
 counts as its UTF-8 bytes if the vocabulary falls back to bytes, otherwise as one
 unknown token for a whole run.
 
-A text is cut before each space (written as U+2581), as pieces never cross one,
-so a word is scored once and remembered in a bounded table.
+A text is cut before each run of spaces (written as U+2581), as pieces never cross
+from a word into the next space, so a word is scored once and remembered in a
+bounded table.  With a vocabulary whose pieces do cross, whole texts are scored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -50,6 +52,7 @@ class Unigram:
 
     def __post_init__(self):
         self.unknown = min(self.pieces.values(), default=0.0) - UNKNOWN_PENALTY
+        self.crossing = any(MARK in p.lstrip(MARK) for p in self.pieces)
 
     def __getstate__(self):
         return self.__dict__ | {"_automaton": None}  # each worker builds its own
@@ -102,14 +105,17 @@ def best_path(word: str, u: Unigram) -> tuple[int, float]:
     return count[n], score[n]
 
 
-def segments(text: str) -> list[str]:
-    """The text with a leading space and spaces as marks, cut before each mark."""
+_SEGMENT = re.compile(f"{MARK}+[^{MARK}]*")
+
+
+def segments(text: str, crossing: bool = False) -> list[str]:
+    """The text with a leading space and spaces as marks, cut before each run of marks unless pieces cross there."""
     if not text:
         return []
     marked = text.replace(" ", MARK)
     if marked[0] != MARK:
         marked = MARK + marked
-    return [MARK + s for s in marked.split(MARK)[1:]]
+    return [marked] if crossing else _SEGMENT.findall(marked)
 
 
 def count_tokens(docs: DataFrame, vocabulary: Unigram) -> DataFrame:
@@ -135,7 +141,7 @@ def count_tokens(docs: DataFrame, vocabulary: Unigram) -> DataFrame:
         for batch in batches:
             counts, scores = [], []
             for text in batch.column(1).to_pylist():
-                got = [known[s] for s in segments(text or "")]
+                got = [known[s] for s in segments(text or "", vocabulary.crossing)]
                 counts.append(sum(c for c, _ in got))
                 scores.append(float(np.sum([s for _, s in got])) if got else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "n_tokens", "score"])
