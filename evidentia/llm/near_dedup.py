@@ -53,6 +53,10 @@ class MinHash:
         return self.bands * self.rows
 
 
+#: Parameters where no other similarity is asked for: 0.8, missed with probability 5e-9.
+USUAL = MinHash(percent=80, bands=48)
+
+
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, flat, and their offsets."""
     w = hash_words(texts, lower=True)
@@ -319,3 +323,20 @@ def keep_first(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     gone = near_duplicates(docs, p).where("not kept").select(F.col("doc_id").alias("name")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("name"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"))
     return rows.join(gone, "name", "left_anti").select("kept.*")
+
+
+GROUPS_SQL = r"""
+with recursive w as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents),
+g as (
+  select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(list_slice(w, i, i + 4), ' ') end as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from g group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as n_both from g a join g b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * n_both >= 85 * (x.n + y.n - n_both)),
+e as (select a, b from l union all select b, a from l),
+r as (select a as doc_id, a as c from e union select r.doc_id, e.b from r join e on e.a = r.c),
+m as (select doc_id, min(c) as c from r group by 1)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.c, w.doc_id) as component_id, w.doc_id = coalesce(m.c, w.doc_id) as kept
+from w left join n on n.doc_id = w.doc_id left join m on m.doc_id = w.doc_id
+"""

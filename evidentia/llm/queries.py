@@ -81,4 +81,8 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE: dict[str, str] = {"op10_mixing": mixing.MIX_SQL}
+ORACLE: dict[str, str] = {
+    "op4_minhash_near_dedup": near_dedup.GROUPS_SQL,
+    "op6_substring_dedup": substring_dedup.REPEATS_SQL,
+    "op10_mixing": mixing.MIX_SQL,
+}

@@ -367,4 +367,20 @@ def remove_repeats(docs: DataFrame, p: Repeat = Repeat()) -> DataFrame:
 
 def repeat_table(docs: DataFrame, p: Repeat = Repeat()) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the kept words."""
-    return remove_repeats(docs, p).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "spans")
+    return remove_repeats(docs, p).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+REPEATS_SQL = r"""
+with w as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+s as (select doc_id, w, unnest(range(1, len(w) - 18)) as i from w where len(w) >= 20),
+k as (select doc_id, i, md5(array_to_string(list_slice(w, i, i + 19), ' ')) as h from s),
+r as (select doc_id, i from k qualify row_number() over (partition by h order by doc_id, i) > 1),
+c as (select distinct doc_id, unnest(range(i, i + 20)) as j from r),
+g as (select doc_id, list(j) as gone from c group by doc_id),
+m as (select w.doc_id, w.w, coalesce(g.gone, []) as gone from w left join g on w.doc_id = g.doc_id),
+x as (select doc_id, w, gone, unnest(range(1, len(w) + 1)) as j from m where len(gone) > 0),
+y as (select x.doc_id, string_agg(w[x.j], ' ' order by x.j) as kept from x left join c on c.doc_id = x.doc_id and c.j = x.j where c.j is null group by x.doc_id)
+select m.doc_id, len(m.w)::bigint as n_words, len(m.gone)::bigint as n_removed,
+       sha256(case when len(m.gone) = 0 then array_to_string(m.w, ' ') else coalesce(y.kept, '') end) as kept_sha256
+from m left join y on m.doc_id = y.doc_id
+"""

@@ -40,6 +40,39 @@ def test_near_duplicates_match_brute_force(docs, rows):
     assert len({r["component_id"] for r in got.values()}) < len(rows)
 
 
+def test_links_at_085_and_080_are_found(spark):
+    """Many planted pairs around either threshold, against exact similarities."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(150):
+        words = [f"w{k}" for k in rng.integers(0, 100_000, int(rng.integers(60, 300)))]
+        other = list(words)
+        for at in rng.choice(len(words), max(1, int(len(words) * rng.uniform(0.005, 0.05))), replace=False):
+            other[at] = "changed"
+        texts += [" ".join(words), " ".join(other)]
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    sets = [shingles(t) for t in texts]
+    same = [len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) for k in range(0, 300, 2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for p, least in ((near_dedup.MinHash(), 0.85), (near_dedup.USUAL, 0.8)):
+        got = {r["doc_id"]: r["component_id"] for r in table(near_dedup.near_duplicates(docs, p))}
+        assert [got[k + 1] == k for k in range(0, 300, 2)] == [s >= least for s in same]
+        assert 30 < sum(least <= s < least + 0.1 for s in same)
+
+
+def test_components_of_chains_stars_and_hot_vertices(spark, monkeypatch):
+    from evidentia.llm import components
+
+    monkeypatch.setattr(components, "HOT_ROWS", 3)
+    chain = [(i, i + 1) for i in range(100, 140)]
+    star = [(7, i) for i in range(200, 260)] + [(i, i) for i in (5, 300)]
+    pairs = [*chain, *star, (260, 261), (261, 259), (None, 3), (4, None), (101, 100)]
+    got = {r["id"]: r["component"] for r in table(components.connected_components(spark.createDataFrame(pairs, "a long, b long")))}
+    want = {i: 100 for i in range(100, 141)} | {i: 7 for i in (7, *range(200, 262))} | {5: 5, 300: 300}
+    assert got == want
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_blocks_of_buckets_and_clusters_lose_no_link(docs):
     small = near_dedup.MinHash(bucket_block=2, cluster_block=300)
     one = {(r["doc_id"], r["component_id"]) for r in table(near_dedup.near_duplicates(docs))}
@@ -119,6 +152,9 @@ def test_shards_with_many_blocks(docs, monkeypatch):
     one = {(r["doc_id"], r["shard"]) for r in table(sharding.shard_table(docs, 5))}
     monkeypatch.setattr(sharding, "BLOCK_GROUPS", 3)
     monkeypatch.setattr(sharding, "SLOT_ROWS", 7)
+    monkeypatch.setattr(sharding, "FIRST_DIGITS", 1)
+    monkeypatch.setattr(sharding, "MORE_DIGITS", 1)
+    monkeypatch.setattr(sharding, "KEPT", 5)
     got = table(sharding.shard_table(docs, 5))
     assert {(r["doc_id"], r["shard"]) for r in got} == one
     for s in {r["shard"] for r in got}:
@@ -319,6 +355,26 @@ def test_token_counts_equal_the_library(docs, rows):
     assert {r["doc_id"]: r["n_tokens"] for r in table(token_counts.count_tokens(docs, u))} == want
 
 
+def test_runs_of_spaces_and_crossing_pieces():
+    """Whole texts as one pre-token in the library, with pieces of several spaces, and with pieces that cross from a word into a space."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from evidentia.llm.queries import vocabulary
+
+    mark = token_counts.MARK
+    known = token_counts.load_pieces(vocabulary("piece_bpe_32k.model"))
+    assert not known.crossing and any(p.startswith(2 * mark) for p in known.pieces)
+    texts = ["def f():\n        return x", "a  b   c", "  lead", "trail  ", " ", "one two  three\n\n    four é漢 five", "x" * 50]
+    for u in (known, token_counts.Unigram(known.pieces | {f"o{mark}t": -0.5, f"a{mark}{mark}b": -0.1})):
+        low = min(u.pieces.values())
+        pieces = [("<unk>", 0.0), *u.pieces.items(), *((f"<0x{i:02X}>", low) for i in range(256))]
+        model = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=True))
+        model.pre_tokenizer = pre_tokenizers.Metaspace(replacement=mark, prepend_scheme="always", split=False)
+        for text in texts:
+            got = sum(token_counts.best_path(s, u)[0] for s in token_counts.segments(text, u.crossing))
+            assert got == len(model.encode(text, add_special_tokens=False).ids), (text, u.crossing)
+
+
 def test_ties_and_unknowns_follow_the_rules():
     u = token_counts.Unigram({"a": -1.0, "b": -1.0, "ab": -2.0, "abc": -9.0}, fallback=True)
     assert token_counts.best_path("ab", u) == (1, -2.0)  # a tie goes to the longest last piece
@@ -650,6 +706,12 @@ def test_leaks_in_odd_rows_and_long_texts(spark, odd):
     assert got == [(1, 2), (1, 2), (3, None), (None, 2), (None, 2)]
 
 
+def test_mixing_with_small_buckets_is_the_same(docs, monkeypatch):
+    one = sorted(map(str, table(mixing.mix_table(docs))))
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 0.0001)
+    assert sorted(map(str, table(mixing.mix_table(docs)))) == one
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(0)
     f = quality_classifier.Fitted(0.3, rng.normal(size=20).astype(np.float32), rng.normal(size=(20, 4)).astype(np.float32))
