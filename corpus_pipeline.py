@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; all but the
 last return the columns of documents.  Between stages the rows are written as
 Parquet and read again.
+
+Null and empty texts, null and repeated ids and repeated rows pass each stage as
+its operator's docstring states: the classifier scores them, documents without
+words are no near-duplicates and hold no benchmark item, rows that share an id are
+mixed alike, and equal texts share a shard.  Columns other than doc_id, text,
+source and n_chars are carried along, whatever their names.  Empty tables stay
+empty.
 """
 
 from __future__ import annotations
@@ -17,14 +24,15 @@ from evidentia.session import ship
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
     ship(spark)
-    model = quality_classifier.train(docs, read(spark, sf_dir, "labels"))
-    return quality_classifier.accept(docs, model)
+    meta = quality_classifier.METADATA
+    model = quality_classifier.train(docs, read(spark, sf_dir, "labels"), meta=meta)
+    return quality_classifier.accept(docs, model, meta=meta)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one with the smallest doc_id, of each near-duplicate group."""
+    """Keeps one document, the one with the smallest doc_id, of each group of documents with a similarity of 0.8 or more."""
     ship(spark)
-    return near_dedup.keep_first(docs)
+    return near_dedup.keep_first(docs, near_dedup.USUAL)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
