@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import cascade, checks, evidence, reports, sampling, shred
+from ..operators import cascade, checks, display, evidence, reports, sampling, shred
 from ..schema import LLM, NOT_FOUND
 from ..scratch import folder
 from .queries import LINE_SQL, Recorded, entry, lineitem_trace, matched, no_entries, part_questions, table
@@ -168,6 +168,74 @@ k as (select max(pos) as pos from p union all select max(p.pos) from k join p on
 select pos from k
 """
 
+def nested_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations with their customers' segments as a nested table and a list, long texts cut."""
+    c, n = table(spark, sf_dir, "customer").where("c_acctbal > 0"), table(spark, sf_dir, "nation")
+    per = c.groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
+    lists = per.groupBy("c_nationkey").agg(F.sort_array(F.collect_list(F.struct(F.concat(F.lit("<b>"), "c_mktsegment", F.lit("</b>")).alias("segment"), F.concat(F.lit("n & "), "n").alias("count")))).alias("segments"))
+    rows = n.join(lists, F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    rows = rows.select("n_name", "segments", F.transform("segments", lambda s: s["count"]).alias("counts"), F.lit("<a text that is too long>").alias("note"), F.array().cast("array<string>").alias("none"))
+    return display.html_rows(rows, limit=12, raw=("segment",))
+
+
+NESTED_SQL = """
+with p as (select c_nationkey as k, c_mktsegment as s, count(*) as n from customer where c_acctbal > 0 group by 1, 2),
+l as (select k, string_agg('<tr><td><b>' || s || '</b></td><td>n &amp; ' || n || '</td></tr>', '' order by s) as body, string_agg('n & ' || n, ', ' order by s) as c from p group by 1),
+t as (select k, body, case when length(c) > 12 then substr(c, 1, 12) || '…' else c end as c from l)
+select n_name, case when body is null then '' else '<table><tr><th>segment</th><th>count</th></tr>' || body || '</table>' end as segments,
+       coalesce(replace(c, '&', '&amp;'), '') as counts, '&lt;a text that…' as note, '<i>(none)</i>' as none
+from nation left join t on n_nationkey = k
+"""
+
+
+def shaded_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strategy groups of each field as a shaded table."""
+    groups = ["pct_verbatim", "pct_tolerant", "pct_ontology", "pct_model"]
+    return display.shaded(reports.strategy_buckets(reports.strategy_crosstab(lineitem_trace(spark, sf_dir))), "target_field", groups)
+
+
+SHADED_SQL = (
+    LINE_SQL
+    + """
+, b as (select target_field, """
+    + ", ".join(f"round_even(100.0::double * count(*) filter (where strategy in ({s})) / count(*), 2) as v{k}" for k, s in enumerate(("'exact', 'case-insensitive'", "'normalized', 'bag of words', 'fuzzy'", "'ontology synonym'", "'llm'")))
+    + """ from t group by 1)
+select target_field, '<tr><th>' || target_field || '</th>' || """
+    + " || ".join(f"""'<td style="background:hsl(120,40%,' || round(100 - 70 * v{k} / 100)::int || '%);color:' || case when v{k} >= 50 then 'white' else 'black' end || '">' || case when v{k} > 0 then printf('%.1f', v{k}) else '' end || '</td>'""" for k in range(4))
+    + """ || '</tr>' as html from b
+"""
+)
+
+
+def priority_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of each priority as bars."""
+    return display.bars(table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n")), "o_orderpriority", "n")
+
+
+BARS_SQL = """
+with c as (select o_orderpriority, count(*) as n from orders group by 1)
+select o_orderpriority, '<svg width="600" height="16"><rect width="' || round(n * 300 / max(n) over ())::int || '" height="14" fill="#3a7"/><text x="306" y="12">' || n || ' ' || o_orderpriority || '</text></svg>' as svg from c
+"""
+
+
+def notebook_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions and nations as the headings of a notebook, and its list of contents."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    heads = r.select(F.col("r_regionkey").alias("k"), F.concat(F.lit("## "), "r_name", F.lit("\n")).alias("h")).union(n.select("n_regionkey", F.concat(F.lit("### In "), "n_name")))
+    cells = heads.orderBy("k", "h").agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("x"))  # a few dozen headings
+    said = lambda text: F.struct(F.lit("markdown").alias("cell_type"), F.array(F.lit("plain # text"), text).alias("source"))
+    code = F.struct(F.lit("code").alias("cell_type"), F.array(F.lit("# no heading")).alias("source"))
+    path = folder(spark, "notebook")
+    cells.select(F.to_json(F.struct(F.concat(F.array(said(F.lit("# All of it")), code), F.transform("x", lambda e: said(e["h"]))).alias("cells"))).alias("value")).write.text(path)
+    return display.contents(display.notebook_lines(spark, path)).select(F.col("line.c").alias("cell"), "entry")
+
+
+CONTENTS_SQL = """
+with h as (select r_regionkey as k, '## ' || r_name || chr(10) as h, r_name as title, '- [' as lead from region union all select n_regionkey, '### In ' || n_name, 'In ' || n_name, '  - [' from nation),
+o as (select *, row_number() over (order by k, h) as i from h)
+select 0 as cell, chr(10) || '[All of it](#All-of-it)' as entry union all select (i + 1)::int, lead || title || '](#' || replace(title, ' ', '-') || ')' from o
+"""
+
 # --- checks and samples ---------------------------------------------------------
 
 
@@ -353,7 +421,7 @@ TIME_BOXED_SQL = "select count(*) as n, count(*) as n_found, count(*) as n_acces
 QUERIES = {
     f.__name__: f
     for f in (
-        affix_match, spelling_pairs, negation_cases, one_word_denials, display_spans, verify_one, html_coverage, thinned_labels, set_checks, run_lookup, updated_keys,
+        affix_match, spelling_pairs, negation_cases, one_word_denials, display_spans, verify_one, html_coverage, thinned_labels, nested_tables, shaded_crosstab, priority_bars, notebook_contents, set_checks, run_lookup, updated_keys,
         pattern_counts, numbered_cases, hallucinated, collisions, curated_examples, evidence_scope, prior_pass, residual_sample, production_run, time_boxed_run,
     )
 }
@@ -367,6 +435,10 @@ ORACLE = {
     "verify_one": VERIFY_ONE_SQL,
     "html_coverage": HTML_SQL,
     "thinned_labels": THINNED_SQL,
+    "nested_tables": NESTED_SQL,
+    "shaded_crosstab": SHADED_SQL,
+    "priority_bars": BARS_SQL,
+    "notebook_contents": CONTENTS_SQL,
     "set_checks": SET_SQL,
     "run_lookup": LOOKUP_SQL,
     "updated_keys": UPDATED_SQL,
