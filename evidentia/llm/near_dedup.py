@@ -9,9 +9,13 @@ exactly, so each reported link is confirmed on full sets and none is lost
 inside a cluster.  Connected components of the links are the groups.
 
 Scale: identical sets are merged before banding; buckets and clusters are cut
-into blocks of bounded size, and a task compares two blocks at a time and emits
-a spanning forest of what it found, so neither a hot bucket nor a hot cluster is
-gathered in one task or expanded into pairs.
+into blocks of bounded size.  A task compares the members of one block with each
+other and with a few leaders that all blocks of a group get, and emits a spanning
+forest of what it found.  In a group of copies this joins nearly all; only the
+members that are left outside the group's main part are then compared with every
+block, in blocks of their own.  A pair inside the main part is not compared, as it
+can join nothing new.  So a hot group is neither gathered in one task nor expanded
+into pairs, and no link that would join two parts is lost.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components, join_counted
@@ -47,6 +51,7 @@ class MinHash:
     seed: int = 17
     bucket_block: int = 512
     cluster_block: int = 400_000  # shingles
+    leaders: int = 16
 
     @property
     def size(self) -> int:
@@ -189,11 +194,41 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def _dealt(rows: DataFrame, key: str, parts: DataFrame, total: int) -> DataFrame:
-    """Rows of a group of ``n`` blocks, copied to each pair of blocks (bi <= bj) that theirs is in; ``parts`` has its ``c`` rows."""
-    dealt = join_counted(rows, parts, key, total).drop("c").withColumn("blk", F.pmod(F.xxhash64("id", F.lit(5)), F.col("n")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1))
-    return dealt.withColumn("o", other).withColumn("bi", F.least("blk", "o")).withColumn("bj", F.greatest("blk", "o"))
+def _joined(members: DataFrame, sizes: DataFrame, payload: DataFrame, total: int, compare, p: MinHash) -> DataFrame:
+    """Links (a, b) that join the members of each group as far as ``compare`` links them.
+
+    ``members`` is (grp, id, w), ``total`` rows; ``sizes`` (grp, c, n) its rows and blocks; ``payload`` (id, data).
+    ``compare`` gets whole runs of (grp, x, y, id, data) and gives (a, b) of a spanning forest.  All are written tables.
+    """
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = store(join_counted(members, sizes, "grp", total).withColumn("blk", F.pmod(F.xxhash64("id", F.lit(5)), F.col("n")).cast("int")), "dealt")
+    blocks_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+
+    def compared(rows: DataFrame) -> DataFrame:
+        rows = rows.join(payload, "id").select("grp", "x", "y", "id", "data").repartition(parts, "grp", "x", "y").sortWithinPartitions("grp", "x", "y", "id")
+        return store(rows.mapInArrow(compare, "a long, b long").distinct(), "links")
+
+    own = dealt.select("grp", F.col("blk").alias("x"), F.lit(0).alias("y"), "id")
+    hot = dealt.where("n > 1")
+    if hot.isEmpty():
+        return compared(own)
+    first = Window.partitionBy("grp").orderBy(F.xxhash64("id"), "id")
+    leaders = hot.groupBy("grp", "blk").agg(F.min("id").alias("id"), F.first("n").alias("n")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= p.leaders)
+    shown = leaders.withColumn("x", blocks_of("n")).where("x <> blk").select("grp", "x", F.lit(0).alias("y"), "id")
+    links = compared(own.unionByName(shown))
+    # members outside the largest part of their group
+    part = F.coalesce("component", F.col("id")).alias("part")
+    named = store(hot.join(connected_components(links), "id", "left").select("grp", "id", "w", "blk", part), "parts")
+    main = named.groupBy("grp", "part").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max_by("part", F.struct("k", "part")).alias("main"))
+    rest = store(join_counted(named, sizes.join(main, "grp"), "grp", total).where("part <> main").select("grp", "id", "w", "blk", "n"), "rest")
+    if rest.isEmpty():
+        return links
+    per_group = rest.groupBy("grp").agg(F.count("*").alias("m"), F.sum("w").alias("w"))
+    per_group = store(per_group.join(sizes, "grp").select("grp", "c", F.ceil(F.greatest(F.col("m") / p.bucket_block, F.col("w") / p.cluster_block)).cast("int").alias("many")), "sizes")
+    apart = join_counted(rest, per_group, "grp", total).withColumn("y", F.pmod(F.xxhash64("id", F.lit(7)), F.col("many")).cast("int"))
+    there = join_counted(hot.select("grp", "id", "blk"), per_group, "grp", total).withColumn("y", blocks_of("many")).select("grp", F.col("blk").alias("x"), "y", "id")
+    both = there.unionByName(apart.withColumn("x", blocks_of("n")).select("grp", "x", "y", "id")).distinct()
+    return links.unionByName(compared(both))
 
 
 def _edges_of_buckets(p: MinHash):
@@ -270,9 +305,9 @@ def _sets(texts: DataFrame, p: MinHash) -> DataFrame:
                 some = np.flatnonzero(np.diff(off))
                 if len(some):
                     cid = digests(sets, np.concatenate([off[some], [off[-1]]]))
-                    yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array([sets[off[i] : off[i + 1]].tobytes() for i in some], pa.binary())], names=["id", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array([sets[off[i] : off[i + 1]].tobytes() for i in some], pa.binary())], names=["id", "data"])
 
-    return texts.select("text").mapInArrow(run, "id long, shingles binary")
+    return texts.select("text").mapInArrow(run, "id long, data binary")
 
 
 def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
@@ -286,25 +321,23 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
     repeated doc_id gives a row each.  A null doc_id takes no part: its
     component_id is null and it is kept.  An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = store(describe(docs, p), "minhash")
     classes = known.where("cid is not null and doc_id is not null").groupBy(F.col("cid").alias("id"))
     classes = store(classes.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
     # candidate buckets: band keys that two classes or more share
-    band = classes.select("id", F.explode("bands").alias("key"))
-    sizes = band.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", "c", F.ceil(F.col("c") / p.bucket_block).cast("int").alias("n"))
-    dealt = _dealt(band, "key", store(sizes, "buckets"), p.bands * classes.count()).join(classes.select("id", "sig"), "id").select("key", "bi", "bj", "id", "sig")
-    dealt = dealt.repartition(parts, "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id")
-    clusters = store(connected_components(dealt.mapInArrow(_edges_of_buckets(p), "a long, b long").distinct()), "clusters")
+    band = classes.select(F.explode("bands").alias("grp"), "id", F.lit(0).cast("long").alias("w"))
+    sizes = band.groupBy("grp").agg(F.count("*").alias("c")).where("c > 1").select("grp", "c", F.ceil(F.col("c") / p.bucket_block).cast("int").alias("n"))
+    loose = _joined(band, store(sizes, "buckets"), classes.select("id", F.col("sig").alias("data")), p.bands * classes.count(), _edges_of_buckets(p), p)
+    clusters = store(connected_components(loose), "clusters")
     # exact links inside clusters
-    wanted = clusters.join(classes.select("id", "doc_id", "n_shingles"), "id")
-    cut = wanted.groupBy("component").agg(F.count("*").alias("c"), F.ceil(F.sum("n_shingles") / p.cluster_block).cast("int").alias("n"))
+    wanted = clusters.join(classes.select("id", "doc_id", "n_shingles"), "id").select(F.col("component").alias("grp"), "id", "doc_id", F.col("n_shingles").alias("w"))
+    wanted = store(wanted, "members")
+    cut = wanted.groupBy("grp").agg(F.count("*").alias("c"), F.ceil(F.sum("w") / p.cluster_block).cast("int").alias("n")).where("c > 1")
     texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = _dealt(_sets(texts, p).join(clusters, "id"), "component", store(cut, "cut"), clusters.count())
-    sets = sets.select("component", "bi", "bj", "id", "shingles").repartition(parts, "component", "bi", "bj").sortWithinPartitions("component", "bi", "bj", "id")
-    groups = connected_components(sets.mapInArrow(_links_of_clusters(p), "a long, b long"))
+    sets = store(_sets(texts, p).groupBy("id").agg(F.first("data").alias("data")), "sets")
+    links = _joined(wanted.select("grp", "id", "w"), store(cut, "cut"), sets, clusters.count(), _links_of_clusters(p), p)
+    groups = connected_components(links)
     # back to documents
     found = classes.select("id", "doc_id").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     first = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -74,9 +74,41 @@ def test_components_of_chains_stars_and_hot_vertices(spark, monkeypatch):
 
 
 def test_blocks_of_buckets_and_clusters_lose_no_link(docs):
-    small = near_dedup.MinHash(bucket_block=2, cluster_block=300)
     one = {(r["doc_id"], r["component_id"]) for r in table(near_dedup.near_duplicates(docs))}
-    assert {(r["doc_id"], r["component_id"]) for r in table(near_dedup.near_duplicates(docs, small))} == one
+    for leaders in (1, 16):
+        small = near_dedup.MinHash(bucket_block=2, cluster_block=300, leaders=leaders)
+        assert {(r["doc_id"], r["component_id"]) for r in table(near_dedup.near_duplicates(docs, small))} == one
+
+
+def test_a_hot_group_of_chains_and_outsiders_is_linked_exactly(spark):
+    """Copies that drift away from the first one step by step, in groups that share their bands: the same as all pairs."""
+    rng = np.random.default_rng(3)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(4):
+        words = list(base)
+        for step in range(25):
+            words = list(words)
+            words[int(rng.integers(0, 120))] = f"x{int(rng.integers(0, 1000))}"
+            texts.append(" ".join(words))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for p in (near_dedup.MinHash(), near_dedup.MinHash(bucket_block=4, cluster_block=500, leaders=2)):
+        got = {r["doc_id"]: r["component_id"] for r in table(near_dedup.near_duplicates(docs, p))}
+        assert got == {i: root(i) for i in range(len(texts))}
+    assert 1 < len({root(i) for i in range(len(texts))}) < len(texts)
 
 
 def test_keep_first_keeps_one_of_each_group(docs):
