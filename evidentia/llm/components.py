@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from .storage import store
 
 #: A key is hot with more rows than this share of all, and these at least.  So at most ``HOT_SHARE`` keys are hot in a large table.
-HOT_SHARE, HOT_ROWS = 2048, 64
+HOT_SHARE, HOT_ROWS = 2048, 1000
+
+
+def hot_limit(total: int) -> int:
+    return max(HOT_ROWS, total // HOT_SHARE)
 
 
 def join_counted(rows: DataFrame, per_key: DataFrame, key: str, total: int, count: str = "c") -> DataFrame:
@@ -23,7 +27,7 @@ def join_counted(rows: DataFrame, per_key: DataFrame, key: str, total: int, coun
     than ``HOT_SHARE`` (or ``total / HOT_ROWS`` in a small table), are broadcast.  All
     others are shuffled, and no task gets more than the hot limit for one key.
     """
-    hot = F.col(count) > max(HOT_ROWS, total // HOT_SHARE)
+    hot = F.col(count) > hot_limit(total)
     names = [*rows.columns, *[c for c in per_key.columns if c != key]]
     few = rows.join(per_key.where(~hot).hint("shuffle_hash"), key).select(*names)
     if per_key.where(hot).isEmpty():
@@ -33,10 +37,12 @@ def join_counted(rows: DataFrame, per_key: DataFrame, key: str, total: int, coun
     return rows.join(F.broadcast(many), key).select(*names).unionByName(cold.select(*names))
 
 
-def _hang(pairs: DataFrame, total: int) -> DataFrame:
-    """Every (u, v) becomes (v, least of u and all its v); ``pairs`` is a written table."""
+def _hang(pairs: DataFrame, total: int, hot: bool) -> DataFrame:
+    """Every (u, v) becomes (v, least of u and all its v); ``hot`` tells whether some u may have very many v."""
     least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
-    return join_counted(pairs, store(least, "least"), "u", total).select("u", "v", "m")
+    if hot:
+        return join_counted(pairs, store(least, "least"), "u", total).select("u", "v", "m")
+    return pairs.join(least.drop("c"), "u").select("u", "v", "m")
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -52,10 +58,13 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         ends = F.array(F.struct(F.col("u").alias("u"), F.col("v").alias("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
         both = edges.where("u <> v").select(F.explode(ends).alias("e")).select("e.*")
-        large = _hang(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = store(large.union(edges.where("u = v")), "links")
+        # in the second step no vertex has more links than here
+        hot = not both.groupBy("u").count().where(F.col("count") > hot_limit(2 * total)).isEmpty()
+        large = _hang(both, 2 * total, hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.union(edges.where("u = v"))
+        large = store(large, "links") if hot else large
         ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))
-        small = _hang(large, 2 * total).select(F.explode(ends).alias("e")).select("e.*")
+        small = _hang(large, 2 * total, hot).select(F.explode(ends).alias("e")).select("e.*")
         edges = store(small.distinct(), "links")
         row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == state:

@@ -50,7 +50,7 @@ class Mcd:
     share: float = 0.75
     factor: float = 1.485
     steps: int = 40
-    tolerance: float = 1e-6
+    tolerance: float = 1e-4
     cutoff: float = 33.4
     least: int = 60
 
