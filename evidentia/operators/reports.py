@@ -189,24 +189,29 @@ def rarefied(rows: DataFrame, group: str, unit: str, value: str) -> DataFrame:
 def rarefied_by_sampling(rows: DataFrame, group: str, unit: str, value: str, n_iter: int = 20, seed: int = 1) -> DataFrame:
     """(group, n_units, k, mean_values, std_values, n_iter): distinct values in seeded samples of k units, k the fewest units of any group.
 
-    A sample takes the units whose hash comes first.  Units are counted by the
-    first digits of their hash, and only those of the one bin in which the k-th lies
-    are ordered, so no task orders the units of a group.
+    A draw gives each unit a hash, and a sample takes the k least of a group.  So a
+    value is in a sample if the least hash of its units is no more than the k-th of
+    the group, and one aggregation of the least hashes serves all draws.  The k-th
+    is found by counts of bins and the rows of one bin, so no task orders the units
+    of a group.
     """
+    draws = range(n_iter)
     seen = rows.select(group, unit, value).dropna().distinct()
-    units = seen.select(group, unit).distinct()
+    hashes = [F.conv(F.substring(order_key(seed, F.lit(d + 1), unit), 1, 15), 16, 10).cast("long").alias(f"h{d}") for d in draws]
+    keys = seen.select(unit).distinct().select(unit, *hashes)
+    units = store(seen.select(group, unit).distinct().join(keys, unit), "units")
     sizes = units.groupBy(group).agg(F.count("*").alias("n_units"))
     sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.min("n_units").alias("k"))))  # one row
-    draws = units.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_iter))).alias("draw")).withColumn("key", order_key(seed, "draw", unit)).withColumn("bin", F.substring("key", 1, 3))
-    draws = store(draws, "draws")
+    each = units.select(group, F.posexplode(F.array(*[f"h{d}" for d in draws])).alias("draw", "h")).withColumn("bin", F.shiftright("h", 48))
     run = Window.partitionBy(group, "draw").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bins = draws.groupBy(group, "draw", "bin").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(run)).join(sizes, group)
-    last = bins.where("upto >= k and upto - c < k").select(group, "draw", F.col("bin").alias("last"), (F.col("k") - F.col("upto") + F.col("c")).alias("left"))
-    near = draws.join(last, [group, "draw"])
-    inside = near.where("bin = last").withColumn("r", F.row_number().over(Window.partitionBy(group, "draw", "bin").orderBy("key", unit))).where("r <= left")
-    chosen = near.where("bin < last").select(group, unit, "draw").unionByName(inside.select(group, unit, "draw"))
-    distinct = chosen.join(seen, [group, unit]).groupBy(group, "draw").agg(F.countDistinct(value).alias("d"))
-    out = distinct.groupBy(group).agg(F.avg("d").alias("mean_values"), F.stddev_pop("d").alias("std_values"), F.count("*").alias("n_iter"))
+    bins = each.groupBy(group, "draw", "bin").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(run)).join(sizes, group)
+    last = bins.where("upto >= k and upto - c < k").select(group, "draw", "bin", (F.col("k") - F.col("upto") + F.col("c")).alias("left"))
+    inside = each.join(last, [group, "draw", "bin"]).withColumn("r", F.row_number().over(Window.partitionBy(group, "draw").orderBy("h")))
+    cuts = inside.where("r = left").groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct("draw", "h"))), lambda x: x["h"]).alias("cuts"))  # one number a draw
+    least = seen.join(keys, unit).groupBy(group, value).agg(*[F.min(f"h{d}").alias(f"h{d}") for d in draws])
+    counts = least.join(cuts, group).groupBy(group).agg(*[F.count_if(F.col(f"h{d}") <= F.get("cuts", F.lit(d))).alias(f"d{d}") for d in draws])
+    found = counts.select(group, F.explode(F.array(*[f"d{d}" for d in draws])).alias("d")).groupBy(group)
+    out = found.agg(F.avg("d").alias("mean_values"), F.stddev_pop("d").alias("std_values"), F.count("*").alias("n_iter"))
     return sizes.join(out, group).select(group, "n_units", "k", "mean_values", "std_values", "n_iter")
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def order_key(seed: int, *keys: str) -> Column:
+def order_key(seed: int, *keys: str | Column) -> Column:
     """A hash of the seed and the keys, by which rows are shuffled."""
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).cast("binary"))
+    columns = [F.col(k) if isinstance(k, str) else k for k in keys]
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("")) for k in columns]).cast("binary"))
 
 
 def shuffled_head(rows: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:

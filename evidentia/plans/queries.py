@@ -50,12 +50,12 @@ def phrase_candidates(docs: DataFrame, values: DataFrame) -> DataFrame:
     meet the values in a hash join instead of a cross join.
     """
     keyed = values.withColumn("w", T.tokens(F.lower("phrase"))).withColumn("n", F.least(F.size("w"), F.lit(3))).where("n > 0")
-    keyed = keyed.withColumn("k", F.xxhash64(F.slice("w", F.lit(1), F.col("n"))))
+    keyed = keyed.withColumn("k", F.xxhash64(*[F.get("w", F.lit(i)) for i in range(3)]))
     lengths = sorted(r["n"] for r in keyed.select("n").distinct().collect())  # of 1, 2 and 3
 
     def windows(w: Column, n: int) -> Column:
-        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, n)))
+        """Hashes of ``n`` words from each place on, of fewer at the end (nulls do not count), which does no harm."""
+        return F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, n)]))
 
     named = docs.select("doc_id", T.tokens(F.lower("text")).alias("w"))
     hashes = F.array_distinct(F.concat(F.array().cast("array<bigint>"), *[windows(F.col("w"), n) for n in lengths]))
