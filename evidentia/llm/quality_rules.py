@@ -145,12 +145,14 @@ def _factored(rows: DataFrame) -> DataFrame:
     A scatter that is not positive definite, as rounding may leave it, gets the
     least pivots that the regularisation allows.
     """
+    factor = []  # each refers to the ones before it in the same projection
     for i, j in _pairs():
         rest = F.col(f"v{i}{j}")
         for k in range(j):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         least = COORDINATES[X[i]][1] ** 2
-        rows = rows.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest + least, F.lit(least))) if i == j else rest / F.col(f"l{j}{j}"))
+        factor.append((F.sqrt(F.greatest(rest + least, F.lit(least))) if i == j else rest / F.col(f"l{j}{j}")).alias(f"l{i}{j}"))
+    rows = rows.select("g", "start", *[f"m{i}" for i in range(D)], *factor)
     logdet = sum((F.log(f"l{i}{i}") for i in range(1, D)), F.log("l00")) * 2
     return rows.select("g", "start", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i, j in _pairs()], logdet.alias("logdet"))
 
@@ -189,15 +191,16 @@ def _starts(rows: DataFrame) -> DataFrame:
 
 def _distance2(rows: DataFrame) -> DataFrame:
     """Adds the squared Mahalanobis distance: forward substitution in the Cholesky factor."""
+    steps = []  # each refers to the ones before it in the same projection
     for i, c in enumerate(X):
         rest = F.col(c) - F.col(f"m{i}")
         for j in range(i):
             rest = rest - F.col(f"l{i}{j}") * F.col(f"y{j}")
-        rows = rows.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
+        steps.append((rest / F.col(f"l{i}{i}")).alias(f"y{i}"))
     total = F.col("y0") * F.col("y0")
     for i in range(1, D):
         total = total + F.col(f"y{i}") * F.col(f"y{i}")
-    return rows.withColumn("d2", total).drop(*[f"y{i}" for i in range(D)])
+    return rows.select("*", *steps, total.alias("d2")).drop(*[f"y{i}" for i in range(D)])
 
 
 def _step(rows: DataFrame, estimates: DataFrame, p: Mcd) -> DataFrame:

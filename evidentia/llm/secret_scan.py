@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -48,7 +48,7 @@ class Scan:
     ``threshold + slack / n``.
     """
 
-    max_docs: int = 20_000
+    max_docs: int = 4_000
     max_strings: int = 4_000  # of each label
     threshold: float = 0.6
     slack: float = 8.0
@@ -81,10 +81,11 @@ def corpus_strings(docs: DataFrame, p: Scan = Scan()) -> tuple[list[str], list[s
             kept = sorted(strings, key=lambda s: (crc32(s.encode()), s))[: p.max_strings]
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(kept), pa.int32()), pa.array(kept, pa.string())], names=["label", "string"])
 
+    # every task gives max_strings of each label at most
     strings = rows.mapInArrow(run, "label int, string string").distinct()
-    order = F.crc32(F.col("string").cast("binary"))
-    lists = [strings.where(F.col("label") == label).orderBy(order, "string").limit(p.max_strings).collect() for label in (0, 1)]
-    return [r["string"] for r in lists[0]], [r["string"] for r in lists[1]]
+    order = Window.partitionBy("label").orderBy(F.crc32(F.col("string").cast("binary")), "string")
+    kept = strings.withColumn("r", F.row_number().over(order)).where(F.col("r") <= p.max_strings).orderBy("label", "r").collect()
+    return [r["string"] for r in kept if not r["label"]], [r["string"] for r in kept if r["label"]]
 
 
 def _value(assignment: str) -> str:
