@@ -1,8 +1,9 @@
 """The match cascade: where in a record does a value come from?
 
-One row an item (a value with its record's entries as arrays), so after the join
-of items and records every tier is a narrow projection; no tier shuffles.  A
-stage is evaluated only where the earlier ones found nothing.
+One row a record, with its entries and its values as arrays, or one row an item (a
+value with its record's entries); so after the join of values and records every
+tier is a narrow projection; no tier shuffles.  A stage is evaluated only where
+the earlier ones found nothing.
 """
 
 from __future__ import annotations
@@ -79,6 +80,42 @@ def search_text(items: DataFrame, needle: str = "target_value", attributes: str
     return items.mapInArrow(run, StructType([*[items.schema[c] for c in kept], StructField("found", FOUND)]))
 
 
+def search_records(rows: DataFrame, items: str = "items") -> DataFrame:
+    """The rows without their entries, one for each of their items, with the fields of the item and ``found`` as in ``search_text``.
+
+    ``rows`` has attributes, secondary and ``items``, an array of structs with
+    target_value and candidates.  The entries of a record go to the kernel once,
+    whatever the number of its values, and only if one of these is still open.
+    """
+    item = rows.schema[items].dataType.elementType
+    needle = lambda i: F.nullif(i["target_value"], F.lit(""))
+
+    def native(i: Column) -> Column:
+        pair = lambda a: F.struct(a.alias("a"), F.when(a.isNull(), verbatim(F.col("secondary"), needle(i))).alias("s"))
+        return T.let(verbatim(F.col("attributes"), needle(i)), pair)
+
+    kept = [c for c in rows.columns if c not in (items, "attributes", "secondary")]
+    rows = rows.select(*kept, items, F.transform(items, native).alias("_v"), "attributes", "secondary")
+    open_ = F.exists("_v", lambda v: v["a"].isNull())
+    rows = rows.select(*kept, items, "_v", F.when(open_, F.col("attributes")).alias("_x"), F.when(open_, F.col("secondary")).alias("_y"))
+    schema = StructType([*[rows.schema[c] for c in kept], StructField("item", item), StructField("found", FOUND)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed, v, x, y = (batch.column(len(kept) + k).to_pylist() for k in range(4))
+            at, each, found = [], [], []
+            for k, (values, tried, attributes, secondary) in enumerate(zip(listed, v, x, y, strict=True)):
+                for i, t in zip(values or (), tried or (), strict=True):
+                    at.append(k)
+                    each.append(i)
+                    found.append(completed(i["target_value"] or None, attributes, secondary, t["a"], t["s"], i["candidates"], True))
+            place = pa.array(at, pa.int64())
+            kind = batch.schema.field(len(kept)).type.value_type
+            yield pa.RecordBatch.from_arrays([*(c.take(place) for c in batch.columns[: len(kept)]), pa.array(each, kind), pa.array(found, FOUND_ARROW)], names=[*kept, "item", "found"])
+
+    return rows.mapInArrow(run, schema).select(*kept, "item.*", "found")
+
+
 def explode_values(entries: DataFrame, field_map: str = "extracted") -> DataFrame:
     """One row (target_field, target_value) for each value of a map from field to raw JSON value.
 
@@ -96,22 +133,24 @@ def term_of_value(results: Column, field: Column, value: Column) -> Column:
     return F.get(F.filter(results[field], lambda r: r["value"] == value), F.lit(0))["term_id"]
 
 
-def verify(items: DataFrame) -> DataFrame:
-    """Trace rows of items.
-
-    ``items`` has target_field, target_value, attributes and secondary, and may
-    have term_id, label, exact_synonyms and related_synonyms; further columns are
-    kept.  A row whose matches are all negated is ``not found`` but keeps its
-    evidence.
-    """
+def _with_terms(items: DataFrame) -> DataFrame:
+    """The items with all columns of their term, and ``candidates``: its names in the order in which they are tried, null without terms."""
     with_terms = "label" in items.columns
     for name, kind in (("term_id", "string"), ("label", "string"), ("exact_synonyms", "array<string>"), ("related_synonyms", "array<string>")):
         if name not in items.columns:
             items = items.withColumn(name, F.lit(None).cast(kind))
-    synonyms = F.concat(F.coalesce("exact_synonyms", F.array().cast("array<string>")), F.coalesce("related_synonyms", F.array().cast("array<string>")))
-    if with_terms:
-        items = items.withColumn("candidates", F.concat(F.array("label"), synonyms))
-    found = search_text(items, candidates="candidates" if with_terms else None)
+    return items.withColumn("candidates", F.concat(F.array("label"), _synonyms()) if with_terms else F.lit(None).cast("array<string>"))
+
+
+def _synonyms() -> Column:
+    none = F.array().cast("array<string>")
+    return F.concat(F.coalesce("exact_synonyms", none), F.coalesce("related_synonyms", none))
+
+
+_TERM = ["term_id", "label", "exact_synonyms", "related_synonyms", "candidates"]
+
+
+def _trace_rows(found: DataFrame, extra: list[str]) -> DataFrame:
     found = found.withColumn("_m", F.coalesce("found.matches", no_matches()))
     found = found.withColumn("negated", F.coalesce("found.negated", F.array().cast("array<boolean>")))
     found = found.withColumn("row_negated", (F.size("negated") > 0) & F.forall("negated", lambda x: x))
@@ -126,25 +165,41 @@ def verify(items: DataFrame) -> DataFrame:
         F.size("_m").alias("n_matches"),
         F.coalesce("term_id", F.lit("")).alias("assigned_term_id"),
         F.coalesce("label", F.lit("")).alias("assigned_term_label"),
-        F.array_join(synonyms, "; ").alias("assigned_term_synonyms"),
+        F.array_join(_synonyms(), "; ").alias("assigned_term_synonyms"),
     )
-    extra = [c for c in items.columns if c not in {*TRACE_COLUMNS, "attributes", "secondary", "candidates", "term_id", "label", "exact_synonyms", "related_synonyms"}]
     return found.select(*extra, *TRACE_COLUMNS)
 
 
+def verify(items: DataFrame) -> DataFrame:
+    """Trace rows of items.
+
+    ``items`` has target_field, target_value, attributes and secondary, and may
+    have term_id, label, exact_synonyms and related_synonyms; further columns are
+    kept.  A row whose matches are all negated is ``not found`` but keeps its
+    evidence.
+    """
+    extra = [c for c in items.columns if c not in {*TRACE_COLUMNS, "attributes", "secondary", *_TERM}]
+    return _trace_rows(search_text(_with_terms(items), candidates="candidates"), extra)
+
+
 def trace(records: DataFrame, results: DataFrame, terms: DataFrame | None = None, keys: tuple[str, ...] = ("accession",)) -> DataFrame:
     """Trace rows of extraction results against their records.
 
     ``records`` has the keys, attributes and secondary; ``results`` the keys,
     extracted and results; ``terms`` field, term_id and names.  A record that
-    occurs twice gives its rows twice.
+    occurs twice gives its rows twice.  The values of a record are gathered before
+    the join, which needs no further shuffle of them.
     """
     values = explode_values(results)
     values = values.withColumn("term_id", term_of_value(F.col("results"), F.col("target_field"), F.col("target_value"))).drop("results")
     if terms is not None:
         named = terms.select(F.col("field").alias("target_field"), "term_id", "label", "exact_synonyms", "related_synonyms")
         values = values.join(named, ["target_field", "term_id"], "left")
-    return verify(values.join(records.select(*keys, "attributes", "secondary"), list(keys)))
+    values = _with_terms(values)
+    others = [c for c in values.columns if c not in keys]
+    listed = values.groupBy(*keys).agg(F.collect_list(F.struct(*others)).alias("items"))
+    found = search_records(records.select(*keys, "attributes", "secondary").join(listed, list(keys)))
+    return _trace_rows(found, [*keys, *[c for c in others if c not in {*TRACE_COLUMNS, *_TERM}]])
 
 
 def verify_one(record: DataFrame, extracted: DataFrame, terms: DataFrame | None = None) -> DataFrame:
