@@ -54,22 +54,30 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     clean = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null")
     edges = store(clean.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    state, total = None, edges.count()
     for _ in range(max_rounds):
-        ends = F.array(F.struct(F.col("u").alias("u"), F.col("v").alias("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
-        both = edges.where("u <> v").select(F.explode(ends).alias("e")).select("e.*")
-        # in the second step no vertex has more links than here
-        hot = not both.groupBy("u").count().where(F.col("count") > hot_limit(2 * total)).isEmpty()
+        total, most, stars = _shape(edges)
+        if stars:
+            every = edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v"))
+            return every.groupBy("id").agg(F.min("component").alias("component"))
+        hot = most > hot_limit(2 * total)
+        both = _both(edges.where("u <> v"), ("u", "v"), ("v", "u"))
+        # in the second step no vertex has more links than in the first
         large = _hang(both, 2 * total, hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.union(edges.where("u = v"))
         large = store(large, "links") if hot else large
-        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))
-        small = _hang(large, 2 * total, hot).select(F.explode(ends).alias("e")).select("e.*")
-        edges = store(small.distinct(), "links")
-        row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(row) == state:
-            break
-        state, total = tuple(row), row[0]
-    else:
-        raise RuntimeError(f"no convergence after {max_rounds} rounds")
-    return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
+        edges = store(_both(_hang(large, 2 * total, hot), ("v", "m"), ("u", "m")).distinct(), "links")
+    raise RuntimeError(f"no convergence after {max_rounds} rounds")
+
+
+def _both(rows: DataFrame, *ends: tuple[str, str]) -> DataFrame:
+    """Two pairs (u, v) from each row."""
+    return rows.select(F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in ends])).alias("e")).select("e.*")
+
+
+def _shape(edges: DataFrame) -> tuple[int, int, bool]:
+    """Links, the most links of a vertex, and whether each vertex but the centres, which are the least of their stars, has one link."""
+    real = edges.where("u <> v")
+    ends = real.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e"))
+    each = ends.groupBy("e.x").agg(F.sum("e.up").alias("up"), F.count("*").alias("c"))
+    row = each.agg(F.sum("c"), F.max("c"), F.max("up"), F.max(((F.col("up") > 0) & (F.col("c") > F.col("up"))).cast("int"))).first()
+    return (row[0] or 0) // 2, row[1] or 0, (row[2] or 0) <= 1 and not row[3]

@@ -198,58 +198,76 @@ def _joined(members: DataFrame, sizes: DataFrame, payload: DataFrame, total: int
     """Links (a, b) that join the members of each group as far as ``compare`` links them.
 
     ``members`` is (grp, id, w), ``total`` rows; ``sizes`` (grp, c, n) its rows and blocks; ``payload`` (id, data).
-    ``compare`` gets whole runs of (grp, x, y, id, data) and gives (a, b) of a spanning forest.  All are written tables.
+    ``compare`` gets whole runs of (grp, x, y, id, rank, data) and gives (grp, a, b) of a spanning forest, whose roots b
+    are of the least rank.  All are written tables.
     """
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = store(join_counted(members, sizes, "grp", total).withColumn("blk", F.pmod(F.xxhash64("id", F.lit(5)), F.col("n")).cast("int")), "dealt")
     blocks_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
 
     def compared(rows: DataFrame) -> DataFrame:
-        rows = rows.join(payload, "id").select("grp", "x", "y", "id", "data").repartition(parts, "grp", "x", "y").sortWithinPartitions("grp", "x", "y", "id")
-        return store(rows.mapInArrow(compare, "a long, b long").distinct(), "links")
+        rows = rows.join(payload, "id").select("grp", "x", "y", "id", "rank", "data").repartition(parts, "grp", "x", "y").sortWithinPartitions("grp", "x", "y", "id")
+        return store(rows.mapInArrow(compare, "grp long, a long, b long"), "links")
 
-    own = dealt.select("grp", F.col("blk").alias("x"), F.lit(0).alias("y"), "id")
+    last = F.lit(p.leaders + 1)
+    own = dealt.select("grp", F.col("blk").alias("x"), F.lit(0).alias("y"), "id", last.alias("rank"))
     hot = dealt.where("n > 1")
     if hot.isEmpty():
-        return compared(own)
+        return compared(own).select("a", "b")
     first = Window.partitionBy("grp").orderBy(F.xxhash64("id"), "id")
-    leaders = hot.groupBy("grp", "blk").agg(F.min("id").alias("id"), F.first("n").alias("n")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= p.leaders)
-    shown = leaders.withColumn("x", blocks_of("n")).where("x <> blk").select("grp", "x", F.lit(0).alias("y"), "id")
-    links = compared(own.unionByName(shown))
-    # members outside the largest part of their group
-    part = F.coalesce("component", F.col("id")).alias("part")
-    named = store(hot.join(connected_components(links), "id", "left").select("grp", "id", "w", "blk", part), "parts")
-    main = named.groupBy("grp", "part").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max_by("part", F.struct("k", "part")).alias("main"))
-    rest = store(join_counted(named, sizes.join(main, "grp"), "grp", total).where("part <> main").select("grp", "id", "w", "blk", "n"), "rest")
+    leaders = hot.groupBy("grp", "blk").agg(F.min("id").alias("id"), F.first("n").alias("n")).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= p.leaders)
+    # in its own block a leader stands twice, which makes no difference
+    shown = leaders.withColumn("x", blocks_of("n")).select("grp", "x", F.lit(0).alias("y"), "id", "rank")
+    found = compared(own.unionByName(shown))
+    links = found.select("a", "b")
+    # members that do not hang on the leader on whom most of their group do
+    on = found.join(sizes.where("n > 1"), "grp", "left_semi").distinct()
+    main = on.groupBy("grp", "b").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
+    main = store(sizes.where("n > 1").join(main, "grp", "left"), "main")
+    named = join_counted(hot.select("grp", "id", "w", "blk"), main, "grp", total).where("b is null or id <> b")
+    rest = store(named.join(on.select("grp", F.col("a").alias("id"), "b"), ["grp", "id", "b"], "left_anti").select("grp", "id", "w", "blk", "n"), "rest")
     if rest.isEmpty():
         return links
     per_group = rest.groupBy("grp").agg(F.count("*").alias("m"), F.sum("w").alias("w"))
     per_group = store(per_group.join(sizes, "grp").select("grp", "c", F.ceil(F.greatest(F.col("m") / p.bucket_block, F.col("w") / p.cluster_block)).cast("int").alias("many")), "sizes")
     apart = join_counted(rest, per_group, "grp", total).withColumn("y", F.pmod(F.xxhash64("id", F.lit(7)), F.col("many")).cast("int"))
-    there = join_counted(hot.select("grp", "id", "blk"), per_group, "grp", total).withColumn("y", blocks_of("many")).select("grp", F.col("blk").alias("x"), "y", "id")
-    both = there.unionByName(apart.withColumn("x", blocks_of("n")).select("grp", "x", "y", "id")).distinct()
-    return links.unionByName(compared(both))
+    there = join_counted(hot.select("grp", "id", "blk"), per_group, "grp", total).withColumn("y", blocks_of("many")).select("grp", F.col("blk").alias("x"), "y", "id", last.alias("rank"))
+    both = there.unionByName(apart.withColumn("x", blocks_of("n")).select("grp", "x", "y", "id", last.alias("rank"))).distinct()
+    return links.unionByName(compared(both).select("a", "b"))
+
+
+def _forest(group: pa.Table, linked: np.ndarray, ids: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    a, b = _spanning(linked, ids)
+    some = [k for k in range(len(a)) if a[k] != b[k]]
+    return [group.column(0)[0].as_py()] * len(some), [a[k] for k in some], [b[k] for k in some]
+
+
+def _ordered(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids by rank, then id, and their rows."""
+    ids, rank = group.column(3).to_numpy(), group.column(4).to_numpy()
+    order = np.lexsort((ids, rank))
+    return ids[order], order
+
+
+_LINKS = pa.schema([("grp", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _edges_of_buckets(p: MinHash):
     floor = p.percent / 100 - p.slack
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
+        out: tuple[list[int], ...] = ([], [], [])
         for group in _grouped(batches, 3):
             if group.num_rows < 2:
                 continue
-            ids = group.column(3).to_numpy()
-            order = np.argsort(ids, kind="stable")
-            sig = np.frombuffer(b"".join(group.column(4).to_pylist()), dtype=np.uint8).reshape(len(ids), -1)[order]
-            x, y = _spanning(similarity(sig, sig, p) >= floor, ids[order])
-            a += x
-            b += y
-            if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                a, b = [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            ids, order = _ordered(group)
+            sig = np.frombuffer(b"".join(group.column(5).to_pylist()), dtype=np.uint8).reshape(len(ids), -1)[order]
+            for column, more in zip(out, _forest(group, similarity(sig, sig, p) >= floor, ids), strict=True):
+                column += more
+            if len(out[0]) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=_LINKS)
+                out = ([], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=_LINKS)
 
     return run
 
@@ -278,21 +296,16 @@ def _intersections(sets: list[np.ndarray], step: int = 1 << 16) -> np.ndarray:
 
 def _links_of_clusters(p: MinHash):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
         for group in _grouped(batches, 3):
             if group.num_rows < 2:
                 continue
-            ids = group.column(3).to_numpy()
-            order = np.argsort(ids, kind="stable")
-            raw = group.column(4).to_pylist()
+            ids, order = _ordered(group)
+            raw = group.column(5).to_pylist()
             sets = [np.frombuffer(raw[i], dtype=np.uint64) for i in order]
             size = np.array([len(s) for s in sets])
             both = _intersections(sets)
             linked = 100 * both >= p.percent * (size[:, None] + size[None, :] - both)
-            x, y = _spanning(linked, ids[order])
-            a += x
-            b += y
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _forest(group, linked, ids)], schema=_LINKS)
 
     return run
 

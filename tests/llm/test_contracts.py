@@ -65,7 +65,7 @@ def test_components_of_chains_stars_and_hot_vertices(spark, monkeypatch):
 
     monkeypatch.setattr(components, "HOT_ROWS", 3)
     chain = [(i, i + 1) for i in range(100, 140)]
-    star = [(7, i) for i in range(200, 260)] + [(i, i) for i in (5, 300)]
+    star = [(7, i) for i in range(200, 260)] + [(i, i) for i in (5, 300, 120)]
     pairs = [*chain, *star, (260, 261), (261, 259), (None, 3), (4, None), (101, 100)]
     got = {r["id"]: r["component"] for r in table(components.connected_components(spark.createDataFrame(pairs, "a long, b long")))}
     want = {i: 100 for i in range(100, 141)} | {i: 7 for i in (7, *range(200, 262))} | {5: 5, 300: 300}
