@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import store
-from .wordhash import Words, blocks, constants, hash_spans, hash_words, mix, windows
+from .wordhash import Words, blocks, hash_spans, hash_words, mix, windows
 
 # Unit words (lower case).
 UNITS = """km m cm mm mi mile miles metre metres meter meters kilometre kilometres kilometer kilometers foot feet inch inches
