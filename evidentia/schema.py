@@ -35,10 +35,7 @@ CONFUSABLE = ("lio", "110")
 # Attribute names that hold a project accession.
 PROJECT_ATTRIBUTES = ["bioproject_id", "bioproject"]
 
-ENTRY = "struct<name:string,content:string>"
 MATCH = "struct<name:string,content:string,start:int,end:int>"
-RECORD = "accession string, organism string, attributes array<struct<name:string,content:string>>, secondary array<struct<name:string,content:string>>"
-TERM = "term_id string, label string, exact_synonyms array<string>, related_synonyms array<string>"
 
 #: Columns of a trace row; empty texts are '' and empty lists [], never null.
 TRACE_COLUMNS = [
