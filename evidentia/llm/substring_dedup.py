@@ -18,8 +18,10 @@ Words are compared by 48 bits of their hashes, each word by itself.
 Scale: documents are dealt to blocks by a hash of their id and text, and a block
 counts each prefix once, so the counts of a prefix that stands in a third of all
 documents are one row a block.  The texts are shuffled once; all steps read that
-exchange.  A prefix above ``group_size`` suffixes is dealt to subgroups by a hash
-of the place; what is new in its subgroup is then compared under the prefix
+exchange.  Below a prefix above ``group_size`` suffixes a block first grows the
+trees of its own: of a suffix whose windows all stand earlier in the block only
+the place goes on, without words.  The others are dealt to subgroups by a hash of
+the place; what is new in its subgroup is then compared under the prefix
 grown to the whole window (by a 128-bit hash of its words), of which every
 subgroup has one suffix at most.  So no
 task holds more than a block of documents, ``group_size`` suffixes or one suffix
@@ -56,6 +58,7 @@ class Repeat:
 _NO_ID = -(1 << 63)
 #: Bytes of a word's hash that are compared.
 WIDTH = 6
+_COMPARED = np.uint64((1 << 8 * WIDTH) - 1)
 #: Suffixes whose trees are grown at a time, if no group has more.
 TOGETHER = 100_000
 
@@ -129,6 +132,23 @@ def _prefixes(p: Repeat):
     return run
 
 
+def _around(w: Words, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``size`` words from word ``begin`` on, one after another, and their offsets."""
+    off = np.concatenate([[0], np.cumsum(size)])
+    return off, w.hash[np.arange(off[-1]) + np.repeat(begin - off[:-1], size)]
+
+
+def _known(w: Words, key: np.ndarray, begin: np.ndarray, size: np.ndarray, left: np.ndarray, count: np.ndarray, split: np.ndarray, p: Repeat) -> np.ndarray:
+    """Which suffixes of split prefixes have only windows that stand in an earlier row."""
+    done = np.zeros(len(key), dtype=bool)
+    hot = np.flatnonzero(split)
+    if len(hot):
+        off, words = _around(w, begin[hot], size[hot])
+        again = repeated(np.unique(key[hot], return_inverse=True)[1], words & _COMPARED, off, left[hot], count[hot], p)
+        done[hot] = np.logical_and.reduceat(again, np.cumsum(count[hot]) - count[hot])
+    return done
+
+
 def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
@@ -140,7 +160,8 @@ def _suffixes(p: Repeat):
     """Suffixes below the prefixes that repeat, with the words around them.
 
     A row stands for the ``n`` windows of an anchor, the first of which starts at word ``start`` and
-    ``left`` words before the anchor.
+    ``left`` words before the anchor.  Where each of them repeats one of the same part of the block, and the
+    prefix is split, the row has no words and may go to any task.
     """
 
     def run(key: tuple, texts: pa.Table, keys: pa.Table) -> pa.Table:
@@ -157,16 +178,19 @@ def _suffixes(p: Repeat):
             if not len(got):
                 continue
             doc, first, count = a.doc[got], a.first[got], a.count[got]
-            size = count + p.window - 1
-            off = np.concatenate([[0], np.cumsum(size)])
-            words = w.hash[np.arange(off[-1]) + np.repeat(w.off[doc] + first - off[:-1], size)]
             n = total[place[got]]
             groups = -(-n // p.group_size)
             k = at + doc
-            salt = mix(k.astype(np.uint64) * np.uint64(1 << 20) + first.astype(np.uint64) + np.uint64(key[0].as_py() << 40)) % groups.astype(np.uint64)
+            begin, size = w.off[doc] + first, count + p.window - 1
+            done = _known(w, a.key[got], begin, size, a.left[got], count, groups > 1, p)
+            size[done] = 0
+            off, words = _around(w, begin, size)
+            where = mix(k.astype(np.uint64) * np.uint64(1 << 20) + first.astype(np.uint64) + np.uint64(key[0].as_py() << 40))
+            grp = np.where(done, where, a.key[got])
+            salt = np.where(done, -1, (where % groups.astype(np.uint64)).astype(np.int64))
             words = np.ascontiguousarray(words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH])
             binary = pa.Array.from_buffers(pa.binary(), len(got), [None, pa.py_buffer((WIDTH * off).astype(np.int32)), pa.py_buffer(words)])
-            columns = [a.key[got].view(np.int64), salt.astype(np.int32), groups > 1, block.column("id").to_numpy()[k], np.full(len(got), key[0].as_py(), np.int32), k.astype(np.int32), first.astype(np.int32), a.left[got].astype(np.int32), count.astype(np.int32)]
+            columns = [grp.view(np.int64), salt.astype(np.int32), groups > 1, block.column("id").to_numpy()[k], np.full(len(got), key[0].as_py(), np.int32), k.astype(np.int32), first.astype(np.int32), a.left[got].astype(np.int32), count.astype(np.int32)]
             out.append(pa.Table.from_arrays([*map(pa.array, columns), binary], names=_names(_SUFFIXES)))
         return pa.concat_tables(out) if out else _NO_SUFFIXES
 
@@ -265,12 +289,15 @@ def _grow(p: Repeat):
             wide[:, :WIDTH] = np.frombuffer(col["words"].buffers()[2], np.uint8)[off[0] : off[-1]].reshape(-1, WIDTH)
             words = wide.view("<u8")[:, 0]
             off = (off - off[0]) // WIDTH
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
+            done = off[1:] == off[:-1]  # known in their block
+            new = done.copy()  # each by itself, so no tree has them
+            new[:1] = True
+            new[1:] |= (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
             left, count = left.astype(np.int64), count.astype(np.int64)
             again = repeated(np.cumsum(new) - 1, words, off, left, count, p)
             ends = np.cumsum(count)
             row = np.repeat(np.arange(len(key)), count)
+            again |= done[row]
             some = np.flatnonzero(np.bincount(row[again], minlength=len(key)))
             at = pa.array(some)
             bits = pa.array([np.packbits(again[ends[i] - count[i] : ends[i]]).tobytes() for i in some.tolist()], pa.binary())

@@ -155,6 +155,25 @@ def test_repeat_spans_are_the_removed_words(docs):
         assert sum(b - a for a, b in zip(r["spans"][::2], r["spans"][1::2])) == r["n_removed"]
 
 
+def test_copies_below_a_split_prefix_leave_their_block_once(spark):
+    import pyarrow as pa
+
+    rows = [(i, f"own{i} " + "la li " * (20 + i) + f"end{i} " + " ".join(f"w{i}x{k}" for k in range(30))) for i in range(40)]
+    texts = pa.table({"b": pa.array([0] * 40, pa.int32()), "id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    p = substring_dedup.Repeat(group_size=10)
+    counted = substring_dedup._prefixes(p)((pa.scalar(0),), texts)
+    keys = pa.table({"b": counted["b"], "key": counted["key"], "n": counted["runs"].cast(pa.int64())})
+    keys = keys.filter(pa.compute.greater(keys["n"], 1))
+    out = substring_dedup._suffixes(p)((pa.scalar(0),), texts, keys)
+    assert out.num_rows == sum(keys["n"].to_pylist()) > 500
+    sent = [r for r in out.to_pylist() if r["words"]]
+    assert 0 < len(sent) < out.num_rows / 4  # 40 documents have own words around theirs
+    docs = spark.createDataFrame(rows + [(i + 100, t) for i, t in rows[:5]], "doc_id long, text string").repartition(3)
+    for group_size in (1, 10, 100, 20_000):
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in table(substring_dedup.repeat_table(docs, substring_dedup.Repeat(group_size=group_size)))}
+        assert got == brute_repeats(rows + [(i + 100, t) for i, t in rows[:5]], 20)
+
+
 def test_shards_are_near_equal_and_minimax(docs, rows):
     got = table(sharding.shard_table(docs, 4))
     assert len(got) == len(rows)
