@@ -138,6 +138,12 @@ def test_normalisation_of_plain_texts_stops_at_the_screen(monkeypatch):
     assert K.normalized_span("blue_ring", "a blue-ring") == (2, 11)
 
 
+def test_words_are_rearranged_only_if_all_are_there(monkeypatch):
+    assert K.rearranged_span("Src inhibitor", "an Inhibitor_Src") == (3, 16) and K.rearranged_span("a a", "b a A") == (2, 5)
+    monkeypatch.setattr(K, "_window", None)
+    assert K.rearranged_span("Src inhibitor", "Src of many other words") is None
+
+
 def test_entries_of_a_record():
     raw = json.dumps({"accession": "A", "BioSample": {"Description": {"Title": "T", "Comment": {"Paragraph": ["p", "q"]}}, "Ids": {"Id": {"content": "x", "db": None}}, "Attributes": {"Attribute": [{"attribute_name": "n", "content": None}, {"attribute_name": "m"}, {"content": "c"}]}, "flag": True, "e": ""}})
     first, rest = K.entries(raw)

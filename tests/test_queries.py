@@ -43,6 +43,6 @@ def test_entry_runs(spark):
     assert set(ORACLE) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", ["trace_normalized", "trace_fuzzy", "priority_filter", "trace_ontology"])
+@pytest.mark.parametrize("name", ["trace_normalized", "trace_fuzzy", "priority_filter", "trace_ontology", "trace_bag_of_words"])
 def test_rows_of_one_row_group_go_to_many_tasks(spark, name):
     assert QUERIES[name](spark, SF).rdd.getNumPartitions() >= 4  # spark.sql.shuffle.partitions; the scan is one task
