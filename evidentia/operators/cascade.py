@@ -11,13 +11,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions import text as T
 from ..functions.kernels import FOUND, FOUND_ARROW, completed
 from ..schema import MATCH, NOT_FOUND, STRATEGIES, TRACE_COLUMNS
+from ..scratch import store
 
 Span = Callable[[Column, Column], Column]
 
@@ -116,16 +118,51 @@ def search_records(rows: DataFrame, items: str = "items") -> DataFrame:
     return rows.mapInArrow(run, schema).select(*kept, "item.*", "found")
 
 
+def _listed_values(entries: DataFrame, field_map: str) -> DataFrame:
+    """The entries with ``target_field`` and ``_v``, the values of that field, instead of their map."""
+    rows = entries.select(*[c for c in entries.columns if c != field_map], F.explode(field_map).alias("target_field", "_v"))
+    listed = F.when(F.ltrim("_v").startswith("["), F.from_json("_v", "array<string>")).otherwise(F.array("_v"))
+    return rows.withColumn("_v", F.filter(listed, lambda v: F.coalesce(v, F.lit("")) != ""))
+
+
 def explode_values(entries: DataFrame, field_map: str = "extracted") -> DataFrame:
     """One row (target_field, target_value) for each value of a map from field to raw JSON value.
 
     A scalar is one value, a list one for each item that is neither null nor
     empty; null maps, null and empty values give no rows.
     """
-    rows = entries.select(*[c for c in entries.columns if c != field_map], F.explode(field_map).alias("target_field", "_v"))
-    listed = F.when(F.ltrim("_v").startswith("["), F.from_json("_v", "array<string>")).otherwise(F.array("_v"))
-    rows = rows.withColumn("_v", F.filter(listed, lambda v: F.coalesce(v, F.lit("")) != ""))
-    return rows.select("*", F.posexplode("_v").alias("value_ord", "target_value")).drop("_v")
+    return _listed_values(entries, field_map).select("*", F.posexplode("_v").alias("value_ord", "target_value")).drop("_v")
+
+
+def count_values(entries: DataFrame, key: str, field_map: str = "extracted") -> DataFrame:
+    """(key, target_field, target_value, n): how often each value of ``explode_values`` occurs under a key.
+
+    Values are counted inside their row, so those of a key with one row are
+    neither exploded singly nor shuffled; only of keys with more rows are the
+    counts summed up.
+    """
+    entries = entries.select(key, field_map)
+    keys = entries.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("_k"))
+    repeated = store(keys, "repeated")
+    same = F.col(key).eqNullSafe(F.col("_k"))
+    one, more = (_counted_values(entries.join(repeated, same, how), key, field_map) for how in ("left_anti", "left_semi"))
+    return one.unionByName(more.groupBy(key, "target_field", "target_value").agg(F.sum("n").alias("n")))
+
+
+def _counted_values(entries: DataFrame, key: str, field_map: str) -> DataFrame:
+    """Counts of the values of each row and field."""
+    rows = _listed_values(entries, field_map).select(key, "target_field", "_v")
+    schema = StructType([rows.schema[key], rows.schema["target_field"], StructField("target_value", StringType()), StructField("n", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            values = pa.table({"at": pc.list_parent_indices(lists), "v": pc.list_flatten(lists)})
+            counts = values.group_by(["at", "v"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+            for c in counts.to_batches():
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(c["at"]) for k in (0, 1)), c["v"], c["count_all"]], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def term_of_value(results: Column, field: Column, value: Column) -> Column:

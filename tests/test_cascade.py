@@ -158,6 +158,18 @@ def test_value_explode(spark):
     assert sorted(got) == [(1, "a", "x"), (1, "b", "y"), (1, "b", "z")]
 
 
+def test_values_are_counted_inside_their_row(spark):
+    data = [(1, {"a": "x", "b": '["y", null, "", "y", "[", 2]'}), (2, {"b": '["y", "y"]', "c": None}), (2, {"b": '["y"]', "a": "y"}), (None, {"b": "y"}), (None, {"b": "y"}), (3, None), (4, {"b": "[]"})]
+    rows = spark.createDataFrame(data, "id int, extracted map<string,string>").repartition(3)
+    exploded = cascade.explode_values(rows).groupBy("id", "target_field", "target_value").agg(F.count("*").alias("n"))
+    got = cascade.count_values(rows, "id")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, exploded.collect()))
+    assert sum(r["n"] for r in got.collect()) == 4 + 1 + 4 + 2
+    single = cascade.count_values(rows.where("id = 1"), "id")
+    single.collect()
+    assert "Generate posexplode" not in single._jdf.queryExecution().executedPlan().toString()
+
+
 def test_term_is_looked_up_by_value(spark):
     df = spark.createDataFrame([({"f": [("b", "T:2"), ("a", "T:1"), ("a", "T:9")]}, "f", "a")], "r map<string,array<struct<value:string,term_id:string>>>, f string, v string")
     assert df.select(cascade.term_of_value(F.col("r"), F.col("f"), F.col("v"))).first()[0] == "T:1"
