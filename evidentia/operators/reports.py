@@ -7,6 +7,8 @@ an order matters.  Percentages of nothing are null.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,17 +191,17 @@ def rarefied(rows: DataFrame, group: str, unit: str, value: str) -> DataFrame:
 def rarefied_by_sampling(rows: DataFrame, group: str, unit: str, value: str, n_iter: int = 20, seed: int = 1) -> DataFrame:
     """(group, n_units, k, mean_values, std_values, n_iter): distinct values in seeded samples of k units, k the fewest units of any group.
 
-    A draw gives each unit a hash, and a sample takes the k least of a group.  So a
-    value is in a sample if the least hash of its units is no more than the k-th of
-    the group, and one aggregation of the least hashes serves all draws.  The k-th
-    is found by counts of bins and the rows of one bin, so no task orders the units
-    of a group.
+    A draw gives each unit a hash, and a sample takes the k least of a group.  The
+    k-th is found by counts of bins and the rows of one bin, so no task orders the
+    units of a group.  A unit then has one bit a draw that takes it, and a value the
+    bits of all its units: one narrow aggregation serves all draws, and no rows are
+    made distinct before it.
     """
     draws = range(n_iter)
-    seen = rows.select(group, unit, value).dropna().distinct()
+    seen = rows.select(group, unit, value).dropna()
     hashes = [F.conv(F.substring(order_key(seed, F.lit(d + 1), unit), 1, 15), 16, 10).cast("long").alias(f"h{d}") for d in draws]
-    keys = seen.select(unit).distinct().select(unit, *hashes)
-    units = store(seen.select(group, unit).distinct().join(keys, unit), "units")
+    pairs = seen.select(group, unit).distinct()
+    units = store(pairs.join(pairs.select(unit).distinct().select(unit, *hashes), unit), "units")
     sizes = units.groupBy(group).agg(F.count("*").alias("n_units"))
     sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.min("n_units").alias("k"))))  # one row
     each = units.select(group, F.posexplode(F.array(*[f"h{d}" for d in draws])).alias("draw", "h")).withColumn("bin", F.shiftright("h", 48))
@@ -208,8 +210,12 @@ def rarefied_by_sampling(rows: DataFrame, group: str, unit: str, value: str, n_i
     last = bins.where("upto >= k and upto - c < k").select(group, "draw", "bin", (F.col("k") - F.col("upto") + F.col("c")).alias("left"))
     inside = each.join(last, [group, "draw", "bin"]).withColumn("r", F.row_number().over(Window.partitionBy(group, "draw").orderBy("h")))
     cuts = inside.where("r = left").groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct("draw", "h"))), lambda x: x["h"]).alias("cuts"))  # one number a draw
-    least = seen.join(keys, unit).groupBy(group, value).agg(*[F.min(f"h{d}").alias(f"h{d}") for d in draws])
-    counts = least.join(cuts, group).groupBy(group).agg(*[F.count_if(F.col(f"h{d}") <= F.get("cuts", F.lit(d))).alias(f"d{d}") for d in draws])
+    words = range(0, n_iter, 63)  # of bits, in a long each
+    taken = lambda d: F.when(F.col(f"h{d}") <= F.get("cuts", F.lit(d)), F.lit(1 << d % 63)).otherwise(0).cast("long")
+    bits = [reduce(Column.bitwiseOR, [taken(d) for d in draws[w : w + 63]]).alias(f"b{w}") for w in words]
+    masks = units.join(F.broadcast(cuts), group).select(group, unit, *bits).where(" or ".join(f"b{w} <> 0" for w in words))  # cuts: one row a group
+    drawn = seen.join(masks, [group, unit]).groupBy(group, value).agg(*[F.bit_or(f"b{w}").alias(f"b{w}") for w in words])
+    counts = drawn.groupBy(group).agg(*[F.count_if(F.col(f"b{d // 63 * 63}").bitwiseAND(F.lit(1 << d % 63).cast("long")) != 0).alias(f"d{d}") for d in draws])
     found = counts.select(group, F.explode(F.array(*[f"d{d}" for d in draws])).alias("d")).groupBy(group)
     out = found.agg(F.avg("d").alias("mean_values"), F.stddev_pop("d").alias("std_values"), F.count("*").alias("n_iter"))
     return sizes.join(out, group).select(group, "n_units", "k", "mean_values", "std_values", "n_iter")

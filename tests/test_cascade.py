@@ -334,6 +334,27 @@ def test_rarefaction_against_enumeration(spark):
     assert got["g"]["k"] == 2 and abs(got["g"]["expected_values"] - want) < 1e-3
 
 
+def test_sampled_rarefaction_by_bits(spark):
+    from hashlib import md5
+    from statistics import fmean, pstdev
+
+    data = [("ghi"[u % 3], u // 2, v) for u in range(60) for v in range(u % 4 + 1, 40, u % 5 + 3)][: -20]
+    data += data[:9] + [("g", None, 1), (None, 1, 1), ("h", 1, None)]
+    n = 70  # more draws than bits of a long
+    out = reports.rarefied_by_sampling(spark.createDataFrame(data, "g string, u int, v int"), "g", "u", "v", n_iter=n)
+    units = {g: {u for x, u, v in data if x == g and None not in (u, v)} for g in "ghi"}
+    k = min(map(len, units.values()))
+    for r in out.collect():
+        drawn = []
+        for d in range(1, n + 1):
+            sample = sorted(units[r["g"]], key=lambda u: int(md5(f"1:{d}:{u}".encode()).hexdigest()[:15], 16))[:k]
+            drawn.append(len({v for x, u, v in data if x == r["g"] and u in sample and v is not None}))
+        assert (r["n_units"], r["k"], r["n_iter"]) == (len(units[r["g"]]), k, n)
+        assert abs(r["mean_values"] - fmean(drawn)) < 1e-9 and abs(r["std_values"] - pstdev(drawn)) < 1e-9
+    assert out.count() == 3
+    assert "min(h0" not in out._jdf.queryExecution().optimizedPlan().toString()  # no hash of each draw in the rows of a value
+
+
 def test_thin_labels(spark):
     df = spark.createDataFrame([(100.0,), (97.0,), (93.0,), (50.0,)], "p double")
     assert [r["p"] for r in reports.thin_labels(df, "p").collect()] == [100.0, 93.0, 50.0]
